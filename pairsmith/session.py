@@ -1,6 +1,5 @@
 """Session defaults and the shared scratch folder."""
 
-import tempfile
 import uuid
 
 from pyspark import cloudpickle
@@ -8,16 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder name that all executors see.
+    """A new folder name that the driver and all executors see.
 
-    On a cluster it lies under ``spark.checkpoint.dir``; only where that is
-    unset and the master is local does it lie in the temporary folder.
+    It lies under ``spark.checkpoint.dir``; where that is unset, as in tests,
+    beside the tables in the session's warehouse, which is shared as well.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.gettempdir()
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
     return f"{base.rstrip('/')}/pairsmith-{name}-{uuid.uuid4().hex}"
 
 
