@@ -25,7 +25,7 @@ from pairsmith.llm import shared
 ORDER = 2
 MU = 4.0
 #: Tokens after which a block ends; a longer text is a block of its own.
-BLOCK_TOKENS = 3_000_000
+BLOCK_TOKENS = 2_000_000
 #: N-grams of a bucket, on average, before blocks are merged.
 BUCKET_GRAMS = 4_000_000
 
@@ -120,7 +120,8 @@ def _bounds(keys: np.ndarray, buckets: int) -> np.ndarray:
 def _sent(batches: Iterator[pa.RecordBatch], order: int, buckets: int) -> Iterator[pa.RecordBatch]:
     names = ["gram", "bucket", "block", "keys", "counts"]
     for batch in batches:
-        for row in batch.to_pylist():
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1).to_pylist()[0]
             block = Block(order, row["flags"], row["lengths"], row["tokens"], row["hashes"])
             for k in range(1, order + 1):
                 keys, _, places, number = block.grams(k)
@@ -174,6 +175,7 @@ class Automaton:
             self.arc.append(np.where(seen, np.log10(p), np.nan))
             self.fail.append(np.where(c > 0, np.log10(mu / (c + mu)), np.nan))
             self.number.append(at)
+        block.keys.clear()
 
     def traverse(self) -> np.ndarray:
         """The weight of each said token, from one left-to-right pass.
@@ -219,14 +221,16 @@ def score(docs: DataFrame, train: Column, id_column: str = "doc_id", text_column
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index("ids"))
-            for i, row in enumerate(batch.to_pylist()):
+            for i in range(batch.num_rows):  # one block at a time
+                row = batch.slice(i, 1).to_pylist()[0]
                 block = Block(order, row["flags"], row["lengths"], row["tokens"], row["hashes"])
                 parts: list[list] = [[] for _ in range(order)]
                 for part in sorted(row["parts"], key=lambda x: (x["gram"], x["bucket"])):
                     parts[part["gram"] - 1].append(_big(part["counts"], np.int64))
                 counts = [np.concatenate(p) for p in parts]
-                weights = Automaton(block, counts, n, v, mu).traverse()
-                known = counts[0][block.grams(1)[3]][block.said[block.grams(1)[2]]]
+                automaton = Automaton(block, counts, n, v, mu)
+                weights = automaton.traverse()
+                known = counts[0][automaton.number[0][block.said]]
                 base = np.log10((known + 1) / (n + v + 1))
                 starts = np.cumsum(block.lengths) - block.lengths
                 sums = [block.lengths, np.add.reduceat((known > 0).astype(np.int64), starts), np.full(len(starts), n), np.add.reduceat(base, starts), np.add.reduceat(weights, starts)]

@@ -61,7 +61,8 @@ def links(pages: DataFrame, url_column: str, html_column: str) -> DataFrame:
         .otherwise(F.concat("root", F.when(F.col("path") == "", F.lit("/")).otherwise(F.regexp_extract("path", r"(?s)^(.*/)", 1)), target))
     )
     ends = with_alias_key(with_alias_key(steps.withColumn("full", full), "url", "a"), "full", "b")
-    return ends.select("a", "b").where("a is not null and b is not null")
+    # As a table, since a filter on the ends would evaluate all steps again.
+    return shared.written(ends.select("a", "b"), "links").where("a is not null and b is not null")
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]], url_column: str = "url", html_column: str = "html", redirects: DataFrame | None = None) -> DataFrame:
