@@ -26,7 +26,7 @@ CHUNKS, CHUNK = 12, 4
 PLACES = CHUNKS * CHUNK
 MOST_ERRORS = 2 * CHUNKS - 1
 #: Rows of a bucket, and of a family, that one task compares with as many others; larger ones are split into such tiles.
-BUCKET_TILE, FAMILY_TILE = 1_024, 256
+BUCKET_TILE, FAMILY_TILE = 2_048, 256
 #: Groups of up to so many rows are compared together.
 SMALL = 32
 #: Shingles of a family that are counted at a time.
@@ -113,15 +113,24 @@ def _edges(reps: np.ndarray, one: np.ndarray, two: np.ndarray) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([pa.array(used[far]), pa.array(root[far])], names=["a", "b"])
 
 
+def _owned(differ: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    """Which pairs belong to the index slot that they met in: the first that admits them, so that each is looked at once."""
+    errors = differ.reshape(-1, CHUNKS, CHUNK).sum(axis=2)
+    chunk, left_out = slot // CHUNK, slot % CHUNK
+    own = errors[np.arange(len(errors)), chunk]
+    return ((errors <= 1).argmax(axis=1) == chunk) & ((own == 1) | (left_out == 0)) & (errors.sum(axis=1) <= MOST_ERRORS)
+
+
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spanning forests of the pairs of each bucket with at most ``MOST_ERRORS`` errors."""
+    """Spanning forests of the pairs of each bucket with at most ``MOST_ERRORS`` errors, one for each tile."""
     for table, cuts in _groups(batches, "key"):
         sizes = np.diff(cuts)
-        reps = table.column("rep").to_numpy()
+        reps, slots = table.column("rep").to_numpy(), table.column("key").to_numpy() >> 48
         signatures = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16).reshape(-1, PLACES)
         guests = np.array(table.column("guest").to_pylist())
         tiles, others = table.column("tile").to_numpy(), table.column("other").to_numpy()
         whole = tiles[cuts[:-1]] == others[cuts[:-1]]
+        found: list[tuple[np.ndarray, np.ndarray]] = []
         for n in range(2, SMALL + 1):
             starts = cuts[:-1][(sizes == n) & whole]
             if len(starts):
@@ -129,21 +138,24 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 one, two = (starts[:, None] + i).ravel(), (starts[:, None] + k).ravel()
                 for at in range(0, len(one), 100_000):
                     a, b = one[at : at + 100_000], two[at : at + 100_000]
-                    near = (signatures[a] != signatures[b]).sum(axis=1) <= MOST_ERRORS
-                    if near.any():
-                        yield _edges(reps, a[near], b[near])
+                    near = _owned(signatures[a] != signatures[b], slots[a])
+                    found.append((a[near], b[near]))
+        if found and sum(len(a) for a, _ in found):
+            yield _edges(reps, *map(np.concatenate, zip(*found)))
         for g in np.flatnonzero((sizes > SMALL) | ((sizes > 1) & ~whole)):
             at = np.arange(cuts[g], cuts[g + 1])
             left, right = (at, at) if whole[g] else (at[~guests[at]], at[guests[at]])
-            if not len(left) or not len(right):
-                continue
-            rows = max(1, 2_000_000 // (len(right) * PLACES))
-            for first in range(0, len(left), rows):
+            forest = shared.Forest(len(at))
+            rows = max(1, 2_000_000 // (max(1, len(right)) * PLACES))
+            for first in range(0, len(left) if len(right) else 0, rows):
                 block = left[first : first + rows]
-                near = (signatures[block][:, None, :] != signatures[right][None, :, :]).sum(axis=2, dtype=np.uint8) <= MOST_ERRORS
-                i, k = np.nonzero(near)
-                if len(i):
-                    yield _edges(reps, block[i], right[k])
+                differ = signatures[block][:, None, :] != signatures[right][None, :, :]
+                i, k = np.nonzero(differ.sum(axis=2, dtype=np.uint8) <= MOST_ERRORS)
+                near = _owned(differ[i, k], np.broadcast_to(slots[cuts[g]], len(i)))
+                forest.union(block[i[near]] - cuts[g], right[k[near]] - cuts[g])
+            far = np.flatnonzero(forest.roots() != np.arange(len(at)))
+            if len(far):
+                yield _edges(reps[at], far, forest.up[far])
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch], size: int, similarity: int) -> Iterator[pa.RecordBatch]:
@@ -201,7 +213,8 @@ def link(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     families = shared.components(near).select(F.col("node").alias("rep"), F.col("component").alias("family"))
     families = shared.written(families, "families")
     families = families.join(families.groupBy("family").agg(F.count("*").alias("n")), "family")
-    members = rows.join(families, F.col("id") == F.col("rep")).select("family", "n", "rep", "text")
+    # A merge join at any size, so that a small run shows what a large one does.
+    members = rows.join(families.hint("merge"), F.col("id") == F.col("rep")).select("family", "n", "rep", "text")
     links = _tiled(members, "family", "n", FAMILY_TILE, ["rep", "text"]).mapInArrow(lambda b: _confirmed(b, size, similarity), "a long, b long")
     groups = shared.components(links).withColumnRenamed("node", "rep")
 
