@@ -28,6 +28,8 @@ def ignore_padding(padded: Column, pad_id: int = PAD_ID) -> Column:
 
 
 def dot(left: Column, right: Column) -> Column:
+    same = F.size(left) == F.size(right)
+    left = F.when(same | left.isNull() | right.isNull(), left).otherwise(F.raise_error(F.lit("vectors of different lengths")))
     products = F.zip_with(left, right, lambda a, b: a.cast("double") * b.cast("double"))
     return F.aggregate(products, F.lit(0.0), lambda total, x: total + x)
 

@@ -4,7 +4,7 @@ A draw made this way is the same on every retry, for every partitioning and in
 a stream as in a batch.
 """
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def _text(part) -> Column:
@@ -19,3 +19,12 @@ def keyed_hash(seed, *keys) -> Column:
 def keyed_index(size: Column, seed, *keys) -> Column:
     """0-based index below ``size``, uniform up to the 2^32 grid."""
     return F.pmod(F.conv(F.substring(keyed_hash(seed, *keys), 1, 8), 16, 10).cast("long"), size.cast("long")).cast("int")
+
+
+def once(df: DataFrame, name: str, column: Column) -> DataFrame:
+    """``df`` with a column that is evaluated once for each row.
+
+    Spark may copy a column's expression to each place that uses it, also into
+    lambdas, where it runs for each item. It does not copy through a generator.
+    """
+    return df.select(*(c for c in df.columns if c != name), F.explode(F.array(column)).alias(name))

@@ -1,14 +1,9 @@
 """Entities of code and product texts."""
 
-import hashlib
-import io
-import keyword
-import tokenize
-
-import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, functions as F
 
 from pairsmith.functions import text
+from pairsmith.functions.keyed import keyed_hash
 from pairsmith.functions.languages import LANGUAGES
 
 PROPER_NOUN = r"^\p{Lu}\p{L}*$"
@@ -18,75 +13,45 @@ SAMPLED_SHARE_JAVASCRIPT = 0.1
 
 
 def identifiers(code: Column, language: Column) -> Column:
-    """Names in order, with repeats, outside comments and strings, without reserved words; NULL for other languages."""
+    """Names in order, with repeats, outside comments, strings and numbers, without reserved words; another language is an error."""
+    known = F.coalesce(F.when(language.isin(*LANGUAGES), language), F.raise_error(F.concat(F.lit("no rules for language "), F.coalesce(language, F.lit("NULL")))))
     found = F.lit(None).cast("array<string>")
     for name, rules in LANGUAGES.items():
         source = F.regexp_replace(code, rules.skipped, " ")
         names = F.regexp_extract_all(source, F.lit(rules.name), F.lit(0))
         reserved = F.array(*[F.lit(w) for w in rules.reserved])
-        found = F.when(language == name, F.filter(names, lambda t: ~F.array_contains(reserved, t))).otherwise(found)
+        found = F.when(known == name, F.filter(names, lambda t: ~F.array_contains(reserved, t))).otherwise(found)
     return found
 
 
-def python_names(code: str) -> list[str] | None:
-    """Names by Python's own tokenizer; None where the text is not well formed."""
-    try:
-        tokens = list(tokenize.tokenize(io.BytesIO(code.encode("utf-8")).readline))
-    except (IndentationError, SyntaxError, tokenize.TokenError):
-        return None
-    return [t.string for t in tokens if t.type == tokenize.NAME and not keyword.iskeyword(t.string)]
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def python_identifiers_exact(code: pd.Series) -> pd.Series:
-    return code.map(python_names, na_action="ignore")
+def _drawn(names: Column, key: Column, seed: int) -> Column:
+    """The occurrences in keyed random order."""
+    marked = F.transform(names, lambda n, i: F.struct(keyed_hash(seed, key, i).alias("h"), i.alias("i"), n.alias("n")))
+    return F.transform(F.array_sort(marked), lambda d: d["n"])
 
 
-def _draw_order(key, size: int, seed) -> list[int]:
-    """Positions in keyed random order."""
-    return sorted(range(size), key=lambda i: (hashlib.md5(f"{seed}:{key}:{i}".encode()).digest(), i))
+def _all_of(names: Column, values: Column) -> Column:
+    return F.filter(names, lambda n: F.array_contains(values, n))
 
 
-def sampled_values(names: list[str], key, seed, share: float) -> list[str]:
+def sample_identifiers(names: Column, key: Column, share: Column, seed: int) -> Column:
     """All occurrences of the values hit by max(share × (n−1), 1) draws of an occurrence."""
-    drawn = _draw_order(key, len(names), seed)[: int(max(share * (len(names) - 1), 1))]
-    values = {names[i] for i in drawn}
-    return [n for n in names if n in values]
+    n_draws = F.greatest(F.floor(share * (F.size(names) - 1)).cast("int"), F.lit(1))
+    return _all_of(names, F.array_distinct(F.slice(_drawn(names, key, seed), 1, n_draws)))
 
 
-def half_of_values(names: list[str], key, seed) -> list[str]:
+def select_half(names: Column, key: Column, seed: int) -> Column:
     """All occurrences of values drawn until they make up half of the list."""
-    counts: dict[str, int] = {}
-    for n in names:
-        counts[n] = counts.get(n, 0) + 1
-    values: set[str] = set()
-    left = len(names) // 2
-    for i in _draw_order(key, len(names), seed):
-        if left <= 0:
-            break
-        if names[i] not in values:
-            values.add(names[i])
-            left -= counts[names[i]]
-    return [n for n in names if n in values]
-
-
-# Membership in a drawn set needs a hash set per row, which array functions do
-# not offer for lists with repeats; the rows stay where they are.
-def sample_identifiers(names: Column, key: Column, share: Column, seed: int) -> Column:
-    @F.pandas_udf("array<string>")
-    def draw(lists: pd.Series, keys: pd.Series, shares: pd.Series) -> pd.Series:
-        rows = zip(lists, keys, shares)
-        return pd.Series([None if n is None else sampled_values(list(n), k, seed, s) for n, k, s in rows])
-
-    return draw(names, key.cast("string"), share)
+    drawn = F.array_distinct(_drawn(names, key, seed))
+    counts = F.transform(drawn, lambda v: F.size(F.filter(names, lambda n: n == v)))
+    start = F.struct(F.lit(0).alias("n"), F.floor(F.size(names) / 2).cast("int").alias("left"))
 
+    def step(state, count):
+        more = F.struct((state["n"] + 1).alias("n"), (state["left"] - count).alias("left"))
+        return F.when(state["left"] > 0, more).otherwise(state)
 
-def select_half(names: Column, key: Column, seed: int) -> Column:
-    @F.pandas_udf("array<string>")
-    def draw(lists: pd.Series, keys: pd.Series) -> pd.Series:
-        return pd.Series([None if n is None else half_of_values(list(n), k, seed) for n, k in zip(lists, keys)])
-
-    return draw(names, key.cast("string"))
+    n_values = F.aggregate(counts, start, step, lambda state: state["n"])
+    return _all_of(names, F.slice(drawn, F.lit(1), n_values))
 
 
 def chosen_identifiers(names: Column, language: Column, key: Column, seed: int) -> Column:

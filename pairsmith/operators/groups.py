@@ -4,10 +4,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pairsmith.functions import arrays
 from pairsmith.functions.keyed import keyed_hash, keyed_index
-from pairsmith.operators.order import BROADCAST_GROUPS, MAX_ROWS, attach, group_row_number, large_groups
-
-# Items of one side in one row; a larger group goes on in further rows.
-MAX_ITEMS = 10_000
+from pairsmith.operators.order import MAX_ROWS, group_row_number
 
 
 def _sides(items: DataFrame) -> DataFrame:
@@ -21,7 +18,27 @@ def _complete_keys(items: DataFrame, key: str) -> DataFrame:
     return counts.where((F.col("_n_pos") > 0) & (F.col("_n_neg") > 0))
 
 
-def _collect(items: DataFrame, key: str, order: str) -> DataFrame:
+def group_items(items: DataFrame, key: str = "query_id", order: str = "pos", max_rows: int = MAX_ROWS) -> DataFrame:
+    """(key, query, side, place, text, gain, product_id) of complete groups, for groups of any size.
+
+    ``side`` is 1 for positives and 0 for negatives, ``place`` counts from 0 in
+    row order. This is the form for groups that may not fit one row.
+    """
+    sided = _sides(items)
+    ranked = group_row_number(sided, [key, "_side"], [F.col(order)], "_number", max_rows)
+    whole = ranked.join(_complete_keys(sided, key).select(key), key, "left_semi")
+    return whole.select(key, "query", F.col("_side").alias("side"), (F.col("_number") - 1).alias("place"), "text", "gain", "product_id")
+
+
+def query_groups(items: DataFrame, key: str = "query_id", order: str = "pos") -> DataFrame:
+    """One row per query that has both positives and negatives, with both lists in row order.
+
+    ``items``: key, query, gain, text, product_id and the order column. A row
+    holds its whole group, as the nested files do; ``group_items`` has the same
+    groups as rows, and ``sample_groups`` needs no nested row.
+    """
+    items = _sides(items)
+
     def side(number):
         item = F.struct(F.col(order).alias("o"), "text", "gain", "product_id")
         ordered = F.array_sort(F.collect_list(F.when(F.col("_side") == number, item)))
@@ -29,35 +46,8 @@ def _collect(items: DataFrame, key: str, order: str) -> DataFrame:
             ordered, lambda x: F.struct(x["text"].alias("text"), x["gain"].alias("gain"), x["product_id"].alias("product_id"))
         )
 
-    return items.groupBy(key, "part").agg(
-        F.min_by("query", order).alias("query"), side(1).alias("positive"), side(0).alias("negative")
-    )
-
-
-def query_groups(
-    items: DataFrame,
-    key: str = "query_id",
-    order: str = "pos",
-    sized_by: DataFrame | None = None,
-    max_items: int = MAX_ITEMS,
-    max_rows: int = MAX_ROWS,
-) -> DataFrame:
-    """One row per query that has both positives and negatives.
-
-    ``items``: key, query, gain, text, product_id and the order column. A side
-    with more than ``max_items`` goes on in rows with ``part`` 1, 2, …, so no
-    row and no task ever holds an unbounded group. ``sized_by`` is a cheaper
-    table with the same keys and gains, for the check of the sizes.
-    """
-    items = _sides(items)
-    checked = items if sized_by is None else _sides(sized_by)
-    if large_groups(checked, [key, "_side"], max_items).isEmpty():
-        groups = _collect(items.withColumn("part", F.lit(0).cast("long")), key, order)
-        return groups.where((F.size("positive") > 0) & (F.size("negative") > 0))
-    ranked = group_row_number(items, [key, "_side"], [F.col(order)], "_number", max_rows)
-    parted = ranked.withColumn("part", F.floor((F.col("_number") - 1) / max_items))
-    whole = parted.join(_complete_keys(_sides(checked), key).select(key), key, "left_semi")
-    return _collect(whole, key, order)
+    groups = items.groupBy(key).agg(F.min_by("query", order).alias("query"), side(1).alias("positive"), side(0).alias("negative"))
+    return groups.where((F.size("positive") > 0) & (F.size("negative") > 0))
 
 
 def sample_record(
@@ -131,6 +121,7 @@ def sample_items(
     """
     k = n_passages - 1
     items = _sides(items).select(key, "query", "_side", F.col(order).alias("_o"), F.col(item).alias("_item"))
+    first = items.groupBy(key).agg(F.min_by("query", "_o").alias("query"))
     sizes = _complete_keys(items, key)
     ranked = group_row_number(items, [key, "_side"], [F.col("_o")], "_number", max_rows)
     ranked = ranked.withColumn("_place", F.col("_number") - 1)
@@ -157,43 +148,21 @@ def sample_items(
         F.when(slot == 0, F.lit(1)).otherwise(F.lit(0)).alias("_side"),
         F.when(slot == 0, positive).when(n_neg < k, short).otherwise(full).cast("long").alias("_place"),
     )
-    picked = wanted.join(ranked, [key, "_side", "_place"])
+    picked = wanted.join(ranked.drop("query"), [key, "_side", "_place"])
     passages = F.transform(F.array_sort(F.collect_list(F.struct("_slot", "_item"))), lambda x: x["_item"])
-    return picked.groupBy(key).agg(F.min("query").alias("query"), _of_size(passages, n_passages).alias("passages"))
+    return first.join(picked.groupBy(key).agg(_of_size(passages, n_passages).alias("passages")), key)
 
 
-def sample_groups(
-    items: DataFrame,
-    epoch: int,
-    seed: int | None,
-    n_passages: int,
-    sized_by: DataFrame | None = None,
-    max_items: int = MAX_ITEMS,
-    max_rows: int = MAX_ROWS,
-    **options,
-) -> DataFrame:
-    """Sampled passages for each complete query; only groups too large for a row go by ``sample_items``."""
-    key = "query_id"
-    checked = _sides(items if sized_by is None else sized_by)
-    large = large_groups(checked, [key, "_side"], max_items).select(key).distinct()
-    n_large = large.count()
-    small = n_large <= BROADCAST_GROUPS
-    common = items if n_large == 0 else attach(items, large, [key], "left_anti", small)
-    records = as_records(_collect(_sides(common).withColumn("part", F.lit(0)), key, "pos"))
-    records = records.where((F.size("positives") > 0) & (F.size("negatives") > 0))
-    sampled = sample_record(records, epoch, seed, n_passages, key=key, **options).select(key, "query", "passages")
-    if n_large == 0:
-        return sampled
-    rest = attach(items, large, [key], "left_semi", small)
-    return sampled.unionByName(
-        sample_items(rest, epoch, seed, n_passages, max_rows=max_rows, **options).select(key, "query", "passages")
-    )
+def sample_groups(items: DataFrame, epoch: int, seed: int | None, n_passages: int, **options) -> DataFrame:
+    """Sampled passages for each complete query, in one way at any size."""
+    return sample_items(items, epoch, seed, n_passages, **options)
 
 
 def as_records(groups: DataFrame) -> DataFrame:
     """Groups as training records: the texts alone."""
     return groups.select(
         "query_id",
+        F.col("query_id").cast("string").alias("key"),
         "query",
         F.transform("positive", lambda x: x["text"]).alias("positives"),
         F.transform("negative", lambda x: x["text"]).alias("negatives"),

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, Window, functions as F
 
 from pairsmith.functions import labels
-from pairsmith.operators.order import MAX_ROWS, group_row_number, last_wins
+from pairsmith.operators.order import last_wins
 
 
 def first_hits(run: DataFrame, hit, cut: int) -> DataFrame:
@@ -36,24 +36,25 @@ def _gain_sum(ranked: DataFrame, weight: str, name: str) -> DataFrame:
 
 
 def ndcg_per_query(
-    run: DataFrame, judged: DataFrame, weight: str = "weight", cut: int | None = None, max_rows: int = MAX_ROWS
+    run: DataFrame, judged: DataFrame, weight: str = "weight", cut: int | None = None
 ) -> DataFrame:
     """nDCG of each judged query.
 
     ``run``: query_id, doc_id, score; ``judged``: query_id, doc_id, weight; one
     row per pair in each. Only judged documents are ranked; ties go to the
-    higher id. Judged queries without a result, or without any weight, get 0.
+    id that is later as text, and a missing score ranks last. A query's judged
+    documents are ranked in one task, as judgements are made by hand. Judged queries without a result, or without any weight, get 0.
     """
     scored = run.join(judged, ["query_id", "doc_id"]).select("query_id", "doc_id", "score", weight)
 
+    by_id = F.col("doc_id").cast("string")
+
     def ranked(df, *order):
-        if cut is None:
-            return group_row_number(df, ["query_id"], list(order), "_rank", max_rows)
         numbered = df.withColumn("_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
-        return numbered.where(F.col("_rank") <= cut)
+        return numbered if cut is None else numbered.where(F.col("_rank") <= cut)
 
-    gained = _gain_sum(ranked(scored, -F.col("score"), -F.col("doc_id")), weight, "dcg")
-    ideal = _gain_sum(ranked(judged.select("query_id", "doc_id", weight), -F.col(weight), F.col("doc_id")), weight, "ideal")
+    gained = _gain_sum(ranked(scored, F.desc_nulls_last("score"), by_id.desc()), weight, "dcg")
+    ideal = _gain_sum(ranked(judged.select("query_id", "doc_id", weight), F.desc(weight), by_id), weight, "ideal")
     ratio = F.when(F.col("ideal") > 0, F.coalesce("dcg", F.lit(0.0)) / F.col("ideal")).otherwise(0.0)
     return ideal.join(gained, "query_id", "left").select("query_id", ratio.alias("ndcg"))
 

@@ -24,6 +24,14 @@ def select_examples(
     return examples
 
 
+def union_splits(parts: list[DataFrame]) -> DataFrame:
+    """The rows of several parts one after the other, by column name; repeated rows stay."""
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def with_gain(examples: DataFrame) -> DataFrame:
     return examples.withColumn("gain", labels.gain(F.col("esci_label")))
 

@@ -24,6 +24,10 @@ SCORE_DIGITS = 9
 _SLICE = 4 << 20
 
 
+def _type(df: DataFrame, column: str) -> str:
+    return dict(df.dtypes)[column]
+
+
 def score_aligned(queries: DataFrame, documents: DataFrame, key: str) -> DataFrame:
     """Dot product of the two rows with the same key."""
     left = queries.withColumnRenamed("vector", "_q")
@@ -58,72 +62,80 @@ def _score_slices(queries: np.ndarray, documents: np.ndarray) -> Iterator[tuple[
 
 
 class TopK:
-    """The k best documents per query: score descending, then id ascending."""
+    """The k best documents per query: score descending, then id ascending. Ids are of any type that sorts."""
 
-    def __init__(self, k: int):
+    def __init__(self, k: int, query_type: str = "bigint", document_type: str = "bigint"):
         self.k = k
+        self.schema = f"query_id {query_type}, doc_id {document_type}, score double"
 
     def start(self, queries: pa.Table) -> None:
         self.ids = _column(queries, "query_id")
         self.queries = _matrix(_column(queries, "vector"))
-        self.best = [(np.empty(0), np.empty(0, dtype=np.int64)) for _ in range(len(self.ids))]
+        self.scores = np.full((len(self.ids), 0), -np.inf)
+        self.docs = np.empty((len(self.ids), 0), object)
+        self.kind = None
 
     def add(self, documents: pa.Table) -> None:
-        ids = np.asarray(_column(documents, "doc_id"))
-        for rows, scores in _score_slices(self.queries, _matrix(_column(documents, "vector"))):
-            for query, row in enumerate(scores, rows.start):
-                old_scores, old_ids = self.best[query]
-                if len(old_scores) == self.k:
-                    passing = row >= old_scores[-1]
-                elif len(row) > self.k:
-                    passing = row >= np.partition(row, len(row) - self.k)[len(row) - self.k]
-                else:
-                    passing = slice(None)
-                all_scores = np.concatenate([old_scores, row[passing]])
-                all_ids = np.concatenate([old_ids, ids[passing]])
-                order = np.lexsort((all_ids, -all_scores))[: self.k]
-                self.best[query] = all_scores[order], all_ids[order]
+        """One sort for all queries of a slice: their best so far beside the new scores."""
+        column = _column(documents, "doc_id")
+        self.kind = column.type
+        order = np.asarray(pc.sort_indices(column))
+        ids = np.array(column.to_pylist(), object)[order]
+        matrix = _matrix(_column(documents, "vector"))[order]
+        width = min(self.k, self.scores.shape[1] + len(ids))
+        scores, docs = np.full((len(self.ids), width), -np.inf), np.empty((len(self.ids), width), object)
+        for rows, new in _score_slices(self.queries, matrix):
+            top = np.argsort(-new, axis=1, kind="stable")[:, : self.k]  # equal scores stay in id order
+            both = np.concatenate([self.scores[rows], np.take_along_axis(new, top, axis=1)], axis=1)
+            names = np.concatenate([self.docs[rows], ids[top]], axis=1)
+            by_id = np.argsort(names, axis=1, kind="stable")
+            place = np.arange(len(both))[:, None]
+            best = by_id[place, np.argsort(-both[place, by_id], axis=1, kind="stable")[:, :width]]
+            scores[rows], docs[rows] = both[place, best], names[place, best]
+        self.scores, self.docs = scores, docs
 
     def finish(self) -> pa.Table:
-        sizes = [len(s) for s, _ in self.best]
+        width = self.scores.shape[1]
         return pa.table(
             {
-                "query_id": self.ids.take(pa.array(np.repeat(np.arange(len(sizes)), sizes))),
-                "doc_id": np.concatenate([i for _, i in self.best] or [np.empty(0, np.int64)]),
-                "score": np.concatenate([s for s, _ in self.best] or [np.empty(0)]),
+                "query_id": self.ids.take(pa.array(np.repeat(np.arange(len(self.ids)), width))),
+                "doc_id": pa.array(self.docs.ravel().tolist(), self.kind),
+                "score": self.scores.ravel(),
             }
         )
 
-    schema = "query_id bigint, doc_id bigint, score double"
-
 
 class AtLeastAsGood:
     """Per query, the number of documents other than its own that score at least as high as its own."""
 
+    def __init__(self, query_type: str = "bigint"):
+        self.schema = f"query_id {query_type}, n_better bigint"
+
     def start(self, queries: pa.Table) -> None:
-        self.table = queries
-        self.ids = np.asarray(_column(queries, "query_id"))
+        self.names = _column(queries, "query_id")
+        self.ids = np.array(self.names.to_pylist())
         self.own = np.asarray(_column(queries, "own_score"))
         self.queries = _matrix(_column(queries, "vector"))
         self.counts = np.zeros(len(self.ids), dtype=np.int64)
 
     def add(self, documents: pa.Table) -> None:
-        ids = np.asarray(_column(documents, "doc_id"))
+        ids = np.array(_column(documents, "doc_id").to_pylist())
         for rows, scores in _score_slices(self.queries, _matrix(_column(documents, "vector"))):
             beaten = (scores >= self.own[rows, None]) & (ids[None, :] != self.ids[rows, None])
             self.counts[rows] += beaten.sum(axis=1)
 
     def finish(self) -> pa.Table:
-        return pa.table({"query_id": self.ids, "n_better": self.counts})
-
-    schema = "query_id bigint, n_better bigint"
+        return pa.table({"query_id": self.names, "n_better": self.counts})
 
 
 class Summary:
-    """Per query over all documents: how many, the best score, and the log of the summed exponentials."""
+    """Per query over all documents: how many, the best score, and the sum of the scores."""
+
+    def __init__(self, query_type: str = "bigint"):
+        self.schema = f"query_id {query_type}, n_scored bigint, best_score double, score_sum double"
 
     def start(self, queries: pa.Table) -> None:
-        self.ids = np.asarray(_column(queries, "query_id"))
+        self.ids = _column(queries, "query_id")
         self.queries = _matrix(_column(queries, "vector"))
         self.count = np.zeros(len(self.ids), dtype=np.int64)
         self.best = np.full(len(self.ids), -np.inf)
@@ -140,8 +152,6 @@ class Summary:
             {"query_id": self.ids, "n_scored": self.count, "best_score": self.best, "score_sum": self.total}
         )
 
-    schema = "query_id bigint, n_scored bigint, best_score double, score_sum double"
-
 
 class PerGroup:
     """A fold for each value of a column that both sides have, such as the checkpoint of the vectors."""
@@ -210,6 +220,9 @@ def fold_scores(
     def block(column, n):
         return F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
 
+    # Fresh columns on both sides, which may come from one table.
+    queries = queries.select(*(F.col(c).alias(c) for c in queries.columns))
+    documents = documents.select(*(F.col(c).alias(c) for c in documents.columns))
     q = queries.withColumn("_i", block("query_id", query_blocks)).withColumn(
         "_j", F.explode(F.sequence(F.lit(0), F.lit(document_blocks - 1)))
     )
@@ -228,7 +241,8 @@ def fold_scores(
 
 def top_k(queries: DataFrame, documents: DataFrame, k: int, **sizes) -> DataFrame:
     """(query_id, doc_id, score, rank): the k nearest documents of each query, rank from 1."""
-    partial = fold_scores(queries.select("query_id", "vector"), documents.select("doc_id", "vector"), TopK(k), **sizes)
+    fold = TopK(k, _type(queries, "query_id"), _type(documents, "doc_id"))
+    partial = fold_scores(queries.select("query_id", "vector"), documents.select("doc_id", "vector"), fold, **sizes)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return partial.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
@@ -236,7 +250,7 @@ def top_k(queries: DataFrame, documents: DataFrame, k: int, **sizes) -> DataFram
 def score_summary(queries: DataFrame, documents: DataFrame, **sizes) -> DataFrame:
     """One row per query over its whole row of the score matrix."""
     documents = documents.select("doc_id", "vector")
-    partial = fold_scores(queries.select("query_id", "vector"), documents, Summary(), **sizes)
+    partial = fold_scores(queries.select("query_id", "vector"), documents, Summary(_type(queries, "query_id")), **sizes)
     return partial.groupBy("query_id").agg(
         F.sum("n_scored").alias("n_scored"), F.max("best_score").alias("best_score"), F.sum("score_sum").alias("score_sum")
     )
@@ -253,7 +267,8 @@ def pair_ranks(queries: DataFrame, documents: DataFrame, by: str | None = None,
     own = q.join(d.select(*keys, F.col("doc_id").alias("query_id"), F.col("vector").alias("_d")), keys + ["query_id"])
     score = F.round(arrays.dot(F.col("vector"), F.col("_d")), SCORE_DIGITS)
     known = own.withColumn("own_score", score).drop("_d")
-    fold = PerGroup(by, AtLeastAsGood) if by else AtLeastAsGood()
+    kind = _type(queries, "query_id")
+    fold = PerGroup(by, lambda: AtLeastAsGood(kind)) if by else AtLeastAsGood(kind)
     return fold_scores(known, d, fold, **sizes).groupBy(*keys, "query_id").agg((1 + F.sum("n_better")).alias("rank"))
 
 

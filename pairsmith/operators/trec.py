@@ -18,7 +18,8 @@ def rank_score(rank: Column, size: Column) -> Column:
 
 def run_table(scored: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     """query_id, Q0, product_id, rank from 0, score, name; by score descending, then row order ``pos``."""
-    order = [-F.col("score"), F.col("pos")]
+    # A missing score ranks last.
+    order = [F.col("score").isNull(), -F.col("score"), F.col("pos")]
     ranked = group_row_number(scored, ["query_id"], order, "_number", max_rows, size="_size")
     rank = F.col("_number") - 1
     return ranked.select(

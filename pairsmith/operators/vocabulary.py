@@ -9,10 +9,11 @@ from pairsmith.operators.masking import SENTINELS
 
 # Ids below this are padding, unknown and the sentinels.
 FIRST_WORD_ID = 2 + SENTINELS
-MAX_WORDS = 50_000
+# Bytes of words that the executors may hold; a larger vocabulary is an error, never cut.
+MAX_BYTES = 64 << 20
 
 
-def build_vocabulary(tokens: DataFrame, column: str = "tokens", size: int = MAX_WORDS) -> DataFrame:
+def build_vocabulary(tokens: DataFrame, size: int, column: str = "tokens") -> DataFrame:
     """(token, n, id) of the most frequent tokens; ties by token.
 
     Counting is distributed; the ranking sees only the ``size`` kept tokens.
@@ -28,12 +29,13 @@ def reserved_tokens() -> list[str]:
 
 
 class Vocabulary:
-    """A built vocabulary on the executors. At most ``MAX_WORDS`` tokens, checked, so it can be broadcast."""
+    """A built vocabulary on the executors; its bytes are checked before it is broadcast."""
 
-    def __init__(self, table: DataFrame, max_words: int = MAX_WORDS):
-        rows = table.select("token", "id").limit(max_words + 1).collect()
-        if len(rows) > max_words:
-            raise ValueError(f"more than {max_words} tokens")
+    def __init__(self, table: DataFrame, max_bytes: int = MAX_BYTES):
+        size = table.agg(F.coalesce(F.sum(F.octet_length("token") + 8), F.lit(0))).first()[0]
+        if size > max_bytes:
+            raise ValueError(f"a vocabulary of {size} bytes, more than {max_bytes}")
+        rows = table.select("token", "id").collect()
         words = [r.token for r in sorted(rows, key=lambda r: r.id)]
         self._tokens = table.sparkSession.sparkContext.broadcast(pa.array(reserved_tokens() + words, pa.string()))
 

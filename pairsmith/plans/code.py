@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from pairsmith.functions import text
+from pairsmith.functions.keyed import once
 from pairsmith.operators import entities, masking, pairs, vocabulary
 
 # Token budgets.
@@ -28,7 +29,7 @@ def with_identifiers(lines: DataFrame) -> DataFrame:
     source = F.when(F.col("language") == "python", text.joined_tokens(text.first_present())).otherwise(
         text.php_source(F.col("code"), F.col("language"))
     )
-    return lines.withColumn("identifiers", entities.identifiers(source, F.col("language")))
+    return once(lines, "identifiers", entities.identifiers(source, F.col("language")))
 
 
 def masked(lines: DataFrame, seed: int = SEED) -> DataFrame:
@@ -36,7 +37,7 @@ def masked(lines: DataFrame, seed: int = SEED) -> DataFrame:
     named = with_identifiers(lines).where(F.size("identifiers") > 0)
     chosen = entities.chosen_identifiers(F.col("identifiers"), F.col("language"), F.col("url"), seed)
     staged = (
-        named.withColumn("_chosen", chosen)
+        once(named, "_chosen", chosen)
         .where(F.size("_chosen") > 0)
         .withColumn("_map", masking.sentinel_map(F.col("_chosen")))
     )
@@ -56,7 +57,7 @@ def pretrain_records(masked_lines: DataFrame, words: vocabulary.Vocabulary) -> D
         words.encode(text.masked_tokens(F.col("label")), PRETRAIN_LENGTHS["label"]).alias("label"),
     )
     return encoded.select(
-        "url", *vocabulary.pretrain_record(F.col("query"), F.col("positive"), F.col("label"))
+        "url", F.col("url").alias("key"), *vocabulary.pretrain_record(F.col("query"), F.col("positive"), F.col("label"))
     )
 
 
@@ -66,6 +67,7 @@ def finetune_records(lines: DataFrame, words: vocabulary.Vocabulary) -> DataFram
     positive = words.encode(text.word_tokens(F.col("code_text")), FINETUNE_LENGTHS["positive"])
     return texts.select(
         "url",
+        F.col("url").alias("key"),
         words.encode(text.word_tokens(F.col("docstring")), FINETUNE_LENGTHS["query"]).alias("query"),
         F.array(positive).alias("positives"),
         F.array().cast("array<array<int>>").alias("negatives"),

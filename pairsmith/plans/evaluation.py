@@ -35,3 +35,15 @@ def pair_mrr_by_step(queries: DataFrame, documents: DataFrame) -> DataFrame:
     """MRR of every checkpoint in one job; both sides have the ``step`` of their vectors."""
     ranks = retrieval.pair_ranks(queries, documents, by="step")
     return ranks.groupBy("step").agg(F.count(F.lit(1)).alias("n_queries"), F.avg(1.0 / F.col("rank")).alias("value"))
+
+
+def retrieval_mrr(queries: DataFrame, documents: DataFrame, wanted: str, found: str, cut: int) -> DataFrame:
+    """MRR of the ``cut`` nearest documents; a hit is one whose ``found`` equals the query's ``wanted``."""
+    ranked = retrieval.top_k(queries, documents, cut)
+    named = ranked.join(queries.select("query_id", F.col(wanted).alias("_wanted")), "query_id").join(documents.select("doc_id", F.col(found).alias("_found")), "doc_id")
+    return metrics.mean_reciprocal_rank(metrics.first_hits(named, F.col("_found") == F.col("_wanted"), cut), "first_hit")
+
+
+def retrieve_to_run_file(queries: DataFrame, documents: DataFrame, k: int, out: str) -> None:
+    """The k nearest documents of each query as a run file."""
+    files.write_spaced(run_lines(retrieval.top_k(queries, documents, k)), out)

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from pairsmith.functions import text
+from pairsmith.functions.keyed import once
 from pairsmith.operators import groups, masking, pairs, split, vocabulary
 from pairsmith.operators.entities import PROPER_NOUN, description_entities, title_entities
 
@@ -32,13 +33,10 @@ def pretrain_part(examples: DataFrame, products: DataFrame, part: str, seed: int
 
 def masked(texts: DataFrame, title: str, body: str) -> DataFrame:
     """``texts`` with ``masked`` and ``label``; bodies of fewer than two tokens are left out."""
-    staged = (
-        texts.where(pairs.enough_tokens(F.col(body)))
-        .withColumn("_tokens", text.word_tokens(F.col(body)))
-        .withColumn("_title", title_entities(F.col(title)))
-        .withColumn("_entities", description_entities(F.col("_tokens"), F.col("_title")))
-        .withColumn("_map", masking.sentinel_map(F.col("_entities")))
-    )
+    staged = once(texts.where(pairs.enough_tokens(F.col(body))), "_tokens", text.word_tokens(F.col(body)))
+    staged = once(staged, "_title", title_entities(F.col(title)))
+    staged = once(staged, "_entities", description_entities(F.col("_tokens"), F.col("_title")))
+    staged = once(staged, "_map", masking.sentinel_map(F.col("_entities")))
 
     def may_be_entity(t):
         return t.rlike(PROPER_NOUN) | F.array_contains("_title", F.lower(t))
@@ -60,7 +58,8 @@ def pretrain_records(masked_pairs: DataFrame, words: vocabulary.Vocabulary) -> D
     )
     kept = vocabulary.drop_empty(encoded)
     record = vocabulary.pretrain_record(F.col("query"), F.col("positive"), F.col("label"))
-    return kept.select("query_id", "product_id", *record)
+    key = F.concat_ws(":", F.col("query_id").cast("string"), F.col("product_id").cast("string")).alias("key")
+    return kept.select("query_id", "product_id", key, *record)
 
 
 def finetune_items(examples: DataFrame, texts: DataFrame) -> DataFrame:
@@ -73,19 +72,24 @@ def finetune_items(examples: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.drop("product_locale")
 
 
-def finetune_groups(examples: DataFrame, products: DataFrame, **limits) -> DataFrame:
-    items = finetune_items(examples, pairs.product_texts(products))
-    return groups.query_groups(items, sized_by=pairs.with_gain(examples), **limits)
+def finetune_groups(examples: DataFrame, products: DataFrame) -> DataFrame:
+    return groups.query_groups(finetune_items(examples, pairs.product_texts(products)))
+
+
+def finetune_part(examples: DataFrame, products: DataFrame, part: str) -> DataFrame:
+    """Groups of the 'train' or 'dev' queries of the fine-tuning examples."""
+    wanted = finetune_examples(examples)
+    ids = split.split_ids(wanted, "query_id", FINETUNE_DEV_SHARE, SPLIT_SEED)
+    return finetune_groups(split.rows_of(wanted, ids, "query_id", part), products)
 
 
-def finetune_records(examples: DataFrame, products: DataFrame, words: vocabulary.Vocabulary, **limits) -> DataFrame:
+def finetune_records(examples: DataFrame, products: DataFrame, words: vocabulary.Vocabulary) -> DataFrame:
     """Groups of ids. Each product is encoded once, before it meets its queries."""
     tokens = text.word_tokens(F.col("text"))
     texts = pairs.product_texts(products).withColumn("text", words.encode(tokens, FINETUNE_LENGTHS["passage"]))
     items = finetune_items(examples, texts)
     unmatched = words.encode(text.word_tokens(text.title_and_text(F.lit(""), F.lit(None))), FINETUNE_LENGTHS["passage"])
     items = items.withColumn("text", F.coalesce("text", unmatched))
-    grouped = groups.query_groups(items, sized_by=pairs.with_gain(examples), **limits)
-    return groups.as_records(grouped).withColumn(
+    return groups.as_records(groups.query_groups(items)).withColumn(
         "query", words.encode(text.word_tokens(F.col("query")), FINETUNE_LENGTHS["query"])
     )

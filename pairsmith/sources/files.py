@@ -21,7 +21,7 @@ def read_codebase_map(spark: SparkSession, path: str, multi_line: bool = False)
     objects = F.from_json("value", T.MapType(T.StringType(), T.IntegerType()), {"mode": "FAILFAST"})
     entries = spark.read.text(path, wholetext=multi_line).select(F.explode(objects).alias("code", "retrieval_idx"))
     return entries.select(
-        ws_tokens(F.col("code")).alias("code_tokens"), "retrieval_idx", F.lit("").alias("doc"), F.lit("").alias("docstring_tokens")
+        ws_tokens(F.col("code")).alias("code_tokens"), "retrieval_idx", F.lit("").alias("doc"), F.array().cast("array<string>").alias("docstring_tokens")
     )
 
 
