@@ -17,10 +17,10 @@ from pairsmith.llm import shared
 
 THRESHOLD = 0.93
 BLOCKS = 8
-#: Leading coordinates of a block that make its grid.
-GRID = 2
+#: Leading coordinates of a block that make its grid, 1 or 2: more of them make smaller cells, but send each vector to more of them.
+GRID = 1
 #: Vectors of a cell that one task compares with as many of another; larger cells are split into such tiles.
-TILE = 2_048
+TILE = 4_096
 #: Pairs of a tile that are confirmed at a time.
 CHUNK = 100_000
 SCALE = 1 << 20
@@ -50,7 +50,7 @@ def turned(vectors: np.ndarray) -> np.ndarray:
     return np.rint(v / np.linalg.norm(v, axis=1, keepdims=True) @ rotation(v.shape[1]) * SCALE).astype(np.int32)
 
 
-def _placed(batches: Iterator[pa.RecordBatch], threshold: float, n_blocks: int) -> Iterator[pa.RecordBatch]:
+def _placed(batches: Iterator[pa.RecordBatch], threshold: float, n_blocks: int, grid: int, kind) -> Iterator[pa.RecordBatch]:
     """A row for each vector and block: its cell."""
     for batch in batches:
         sizes = np.array([len(x) for x in batch.column(2)])
@@ -60,17 +60,16 @@ def _placed(batches: Iterator[pa.RecordBatch], threshold: float, n_blocks: int)
             q = turned(vectors)
             for j, block in enumerate(splits(size, n_blocks)):
                 side = np.sqrt(budget(size, block, threshold))
-                cell = np.floor(q[:, block][:, :GRID] / side).astype(np.int64)
-                if cell.shape[1] < GRID:
-                    cell = np.pad(cell, ((0, 0), (0, GRID - cell.shape[1])))
+                cell = np.floor(q[:, block][:, :grid] / side).astype(np.int64)
+                cell = np.pad(cell, ((0, 0), (0, 2 - cell.shape[1])))
                 n = len(own)
                 yield pa.RecordBatch.from_arrays(
-                    [own.column(0), own.column(1), pa.array(np.full(n, size, np.int32)), pa.array(np.full(n, j, np.int32)), *(pa.array(cell[:, g]) for g in range(GRID)), pa.array([x.tobytes() for x in q], pa.binary()), pa.array([x.tobytes() for x in vectors], pa.binary()), own.column(3)],
+                    [own.column(0), own.column(1), pa.array(np.full(n, size, np.int32)), pa.array(np.full(n, j, np.int32)), *(pa.array(cell[:, g]) for g in range(2)), pa.array([x.tobytes() for x in q], pa.binary()), pa.array([x.tobytes() for x in vectors.astype(kind)], pa.binary()), own.column(3)],
                     names=["rep", "label", "size", "block", "x", "y", "turned", "vector", "copies"],
                 )
 
 
-def _compared(batches: Iterator[pa.RecordBatch], threshold: float, n_blocks: int) -> Iterator[pa.RecordBatch]:
+def _compared(batches: Iterator[pa.RecordBatch], threshold: float, n_blocks: int, kind) -> Iterator[pa.RecordBatch]:
     """(rep, links, root) of the vectors with links in each tile of comparisons."""
     key = ["label", "size", "block", "x", "y", "step", "tile", "other"]
     for table in shared.sorted_groups(batches, key):
@@ -79,10 +78,10 @@ def _compared(batches: Iterator[pa.RecordBatch], threshold: float, n_blocks: int
         cuts = np.concatenate([[0], np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(axis=0)) + 1, [table.num_rows]])
         for start, end in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             if end - start > 1:
-                yield from _tile(table.slice(start, end - start), threshold, n_blocks)
+                yield from _tile(table.slice(start, end - start), threshold, n_blocks, kind)
 
 
-def _tile(table: pa.Table, threshold: float, n_blocks: int) -> Iterator[pa.RecordBatch]:
+def _tile(table: pa.Table, threshold: float, n_blocks: int, kind) -> Iterator[pa.RecordBatch]:
     size, j = table.column("size")[0].as_py(), table.column("block")[0].as_py()
     parts, most = splits(size, n_blocks), [budget(size, b, threshold) for b in splits(size, n_blocks)]
     guest = np.array(table.column("guest").to_pylist())
@@ -91,7 +90,7 @@ def _tile(table: pa.Table, threshold: float, n_blocks: int) -> Iterator[pa.Recor
     if not len(left) or not len(right):
         return
     q = np.frombuffer(b"".join(table.column("turned").to_pylist()), np.int32).reshape(-1, size).astype(np.float64)
-    vectors = np.frombuffer(b"".join(table.column("vector").to_pylist()), np.float64).reshape(-1, size)
+    vectors = np.frombuffer(b"".join(table.column("vector").to_pylist()), kind).reshape(-1, size).astype(np.float64)
     unit = vectors / np.abs(vectors).max(axis=1, keepdims=True)
     unit = unit / np.linalg.norm(unit, axis=1, keepdims=True)
     copies, reps = table.column("copies").to_numpy(), table.column("rep").to_numpy()
@@ -122,7 +121,7 @@ def _tile(table: pa.Table, threshold: float, n_blocks: int) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([pa.array(reps[found]), pa.array(links[found]), pa.array(roots)], names=["rep", "links", "root"])
 
 
-def link(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", label_column: str = "label", threshold: float = THRESHOLD, blocks: int = BLOCKS) -> DataFrame:
+def link(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", label_column: str = "label", threshold: float = THRESHOLD, blocks: int = BLOCKS, grid: int = GRID) -> DataFrame:
     """(id, n_links, component_id, kept) of each row, by cosine >= ``threshold`` within equal labels.
 
     Ids are whole numbers and unique; rows with a null label, or whose vector is
@@ -132,17 +131,18 @@ def link(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "em
     """
     spark = vectors.sparkSession
     shared.small_batches(spark)
+    kind = np.float32 if dict(vectors.dtypes)[vector_column] == "array<float>" else np.float64  # sent as they are
     rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(label_column).alias("label"), F.col(vector_column).cast("array<double>").alias("v")).where("id is not null")
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("v", lambda x: x != 0)
     usable = rows.where(F.col("label").isNotNull() & F.coalesce(finite, F.lit(False)))
     labels = F.xxhash64("label").alias("label")
     classes = usable.groupBy(labels, "v").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    placed = classes.select("rep", "label", "v", "copies").mapInArrow(lambda b: _placed(b, threshold, blocks), "rep long, label long, size int, block int, x long, y long, turned binary, vector binary, copies long")
+    placed = classes.select("rep", "label", "v", "copies").mapInArrow(lambda b: _placed(b, threshold, blocks, grid, kind), "rep long, label long, size int, block int, x long, y long, turned binary, vector binary, copies long")
     placed = shared.written(placed, "vectors")
 
     tiles = F.ceil(F.col("n") / F.lit(float(TILE))).cast("int")
     cells = shared.written(placed.groupBy("label", "size", "block", "x", "y").agg(F.count("*").alias("n")).withColumn("tiles", tiles).drop("n"), "cells")
-    steps = [(0, 0), (0, 1), (1, -1), (1, 0), (1, 1)]
+    steps = [(0, 0), (1, 0)] if grid == 1 else [(0, 0), (0, 1), (1, -1), (1, 0), (1, 1)]
     step = F.explode(F.array(*(F.struct(F.lit(i).alias("step"), F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for i, (dx, dy) in enumerate(steps))))
     cell = ["label", "size", "block", "x", "y"]
     asked = cells.withColumn("s", step).select(*cell, "tiles", "s.step", (F.col("x") + F.col("s.dx")).alias("x2"), (F.col("y") + F.col("s.dy")).alias("y2"))
@@ -163,7 +163,7 @@ def link(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "em
     guests = guests.select("label", "size", "block", F.col("x1").alias("x"), F.col("y1").alias("y"), "step", "tile", "other", F.lit(True).alias("guest"), *sent)
     key = [*cell, "step", "tile", "other"]
     gathered = hosts.union(guests).repartition(*key).sortWithinPartitions(*key)
-    found = shared.written(gathered.mapInArrow(lambda b: _compared(b, threshold, blocks), "rep long, links long, root long"), "links")
+    found = shared.written(gathered.mapInArrow(lambda b: _compared(b, threshold, blocks, kind), "rep long, links long, root long"), "links")
 
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     groups = shared.components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))

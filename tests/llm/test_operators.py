@@ -158,7 +158,8 @@ def test_blocks_follow_links_and_allowing_has_precedence(spark):
     assert found == {1: (None, "block"), 2: (None, "block"), 3: (None, "allow"), 4: (None, "allow"), 5: ("com/de/", "block"), 6: (None, "allow"), 7: (None, "allow"), 8: (None, "allow")}
 
 
-def test_embedding_links_in_small_tiles(spark, monkeypatch):
+@pytest.mark.parametrize("grid", [1, 2])
+def test_embedding_links_in_small_tiles(spark, monkeypatch, grid):
     rng = np.random.default_rng(5)
     base = rng.standard_normal((12, 16))
     vectors = [(b + 0.08 * rng.standard_normal(16)).tolist() for b in base for _ in range(14)]
@@ -166,7 +167,7 @@ def test_embedding_links_in_small_tiles(spark, monkeypatch):
     rows += [(1000, None, 1), (1001, [0.0] * 16, 1), (1002, [float("nan")] * 16, 1), (1003, [None] * 16, 1), (1004, vectors[1], None), (1005, [], 1), (1006, vectors[1][:8], 1)]
     monkeypatch.setattr(embedding_dedup, "TILE", 8)
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
-    found = {r["vec_id"]: r for r in embedding_dedup.link(frame).collect()}
+    found = {r["vec_id"]: r for r in embedding_dedup.link(frame, grid=grid).collect()}
     good = [(i, np.array(np.float32(v), float), label) for i, v, label in rows if i < 1000]
     links = {i: set() for i, _, _ in rows}
     for (i, a, x), (k, b, y) in itertools.combinations(good, 2):
