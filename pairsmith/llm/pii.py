@@ -180,18 +180,16 @@ def surrogate(key: bytes, kind: str, entity: str, draw: int = 0) -> str:
     if kind == "iban":
         return entity[:2] + d.shaped(entity[2:])
     if kind.startswith("given") or kind == "family":
-        script = _letters(entity)
-        if kind == "family" and script == "LATIN":
-            name = _ONSETS[d.below(len(_ONSETS))] + _CODAS[d.below(len(_CODAS))]
-            name = name if draw < 40 else name + "aeiou"[d.below(5)] + "nrst"[d.below(4)]
-        elif kind != "family" and script in ("LATIN", "CYRILLIC"):
-            gender = kind[-1] if kind[-1] in "fm" else "fm"[d.below(2)]
-            names = GIVEN[script, gender]
-            name = names[d.below(len(names))]
-            if draw >= 20:
-                name += "-" + names[d.below(len(names))]
-        else:
-            name = d.shaped(entity)
+        script, gender = _letters(entity), kind[-1] if kind[-1] in "fm" else "fm"[d.below(2)]
+        parts = []
+        for _ in range(1 + (draw + 1) // 2):  # later draws are longer, so that no number of names exhausts them
+            if kind == "family" and script == "LATIN":
+                parts.append(_ONSETS[d.below(len(_ONSETS))] + _CODAS[d.below(len(_CODAS))])
+            elif kind != "family" and script in ("LATIN", "CYRILLIC"):
+                parts.append(GIVEN[script, gender][d.below(len(GIVEN[script, gender]))])
+            else:
+                parts.append(d.shaped(entity))
+        name = "-".join(parts)
         return name.upper() if entity.isupper() and len(entity) > 1 else name
     return d.shaped(entity)
 
@@ -217,17 +215,17 @@ def replaced(text: str, key: bytes, draws: dict[tuple[str, str], int]) -> tuple[
 
 
 def _entities(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """(id, kind, entity), each once for a document of a batch."""
+    """(id, text_hash, kind, entity), each once for a row; the hash keeps rows with null or repeated ids apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(i, kind, entity) for i, text in enumerate(batch.column(1).to_pylist()) if text for kind, entity in sorted({x[2:] for x in find(text)})]
+            rows = [(i, kind, entity) for i, text in enumerate(batch.column(2).to_pylist()) if text for kind, entity in sorted({x[2:] for x in find(text)})]
             if rows:
                 at, kinds, entities = zip(*rows)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(kinds), pa.array(entities)], names=["id", "kind", "entity"])
+                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at)) for c in batch.columns[:2]), pa.array(kinds), pa.array(entities)], names=["id", "text_hash", "kind", "entity"])
 
-    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, kind string, entity string")
+    rows = docs.select(F.col(id_column).alias("id"), F.xxhash64(text_column).alias("text_hash"), F.col(text_column).alias("text"))
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, text_hash long, kind string, entity string")
 
 
 def _checked(entities: DataFrame, key: bytes) -> DataFrame:
@@ -262,17 +260,18 @@ def pseudonymize(docs: DataFrame, key: bytes, id_column: str = "doc_id", text_co
     """``docs`` with surrogates in the text, and with n_entities and entity_kinds, which replace columns of these names.
 
     Null and empty texts stay; a text without entities stays as it is. Ids may
-    be null or repeated. The only thing joined to the texts is the list of
+    be null or repeated: a row's key is its id with a hash of its text. The only thing joined to the texts is the list of
     redrawn entities by document, which Spark broadcasts if it is small and
     shuffles otherwise.
     """
     shared.small_batches(docs.sparkSession)
     found = shared.written(_entities(docs, id_column, text_column), "entities")
     redrawn = _checked(found.select("kind", "entity").distinct(), key)
-    by_row = found.join(redrawn, ["kind", "entity"]).groupBy(F.col("id").alias("redrawn_id")).agg(F.collect_set(F.struct("kind", "entity", "draw")).alias("redrawn_draws"))
+    by_row = found.join(redrawn, ["kind", "entity"]).groupBy(F.col("id").alias("redrawn_id"), F.col("text_hash").alias("redrawn_hash")).agg(F.collect_set(F.struct("kind", "entity", "draw")).alias("redrawn_draws"))
     by_row = shared.written(by_row, "redrawn-by-document")
-    base = docs.drop("n_entities", "entity_kinds", "redrawn_draws")
-    joined = base.join(by_row, base[id_column].eqNullSafe(F.col("redrawn_id")), "left").select(*(base[c] for c in base.columns), "redrawn_draws")
+    base = docs.drop("n_entities", "entity_kinds", "redrawn_draws", "redrawn_id", "redrawn_hash")
+    same_row = base[id_column].eqNullSafe(F.col("redrawn_id")) & (F.xxhash64(base[text_column]) == F.col("redrawn_hash"))
+    joined = base.join(by_row, same_row, "left").select(*(base[c] for c in base.columns), "redrawn_draws")
 
     def work():
         def each(batch):

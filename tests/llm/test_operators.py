@@ -302,14 +302,22 @@ def test_entities_and_their_format(text, kinds):
         assert kind in ("given-f", "family") or text[start:end] not in new
 
 
+@pytest.mark.parametrize("kind", ["given-f", "given-m", "family"])
+def test_later_draws_leave_room_for_any_number_of_names(kind):
+    names = [f"{a}{b:04d}".translate(str.maketrans("0123456789", "abcdefghij")).title() for a in ("an", "bo", "李") for b in range(3_000)]
+    found = [pii.surrogate(b"k", kind, n, 9) for n in names]
+    assert len(set(found)) == len(names) and all(n[0].isupper() or n[0] > "\u3000" for n in found)
+
+
 def test_surrogates_are_distinct_and_never_real(spark):
     names = [f"Mr {a}{b}son" for a in ("An", "Be", "Ce", "Do", "Eb", "Fi") for b in "bdfgklmnprst"]
     rows = [(i, f"{n} wrote. {n.split()[1]} left.") for i, n in enumerate(names)] + [(100, "10.0.0.1"), (None, "10.0.0.2"), (None, None), (101, "")]
+    rows += [(None, t) for _, t in rows[:9]] + [(5, t) for _, t in rows[10:19]]  # null and repeated ids
     found = pii.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string"), b"k").collect()
     new = [r["text"].split()[1] for r in found if r["text"] and r["text"].startswith("Mr")]
     assert len(set(new)) == len(names) and not set(new) & {n.split()[1] for n in names}
     assert all(r["text"].split()[1] == r["text"].split()[3] for r in found if r["text"] and r["text"].startswith("Mr"))
-    assert len(found) == len(rows) and sum(r["n_entities"] for r in found) == 2 * len(names) + 2
+    assert len(found) == len(rows) and sum(r["n_entities"] for r in found) == 2 * (len(names) + 18) + 2
 
 
 def test_the_mix_comes_near_its_targets(spark):
