@@ -227,7 +227,8 @@ def link(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
     """``docs`` with one document of each group; of repeated rows with one id, one. Rows with a null id stay."""
     decided = shared.written(link(docs, id_column, text_column, size, similarity), "kept").where("kept").groupBy(F.col(id_column).alias("kept_id")).agg(F.count("*").alias("n_rows"))
-    joined = docs.join(decided, docs[id_column].eqNullSafe(F.col("kept_id")))
+    # A merge join at any size here too: the list of kept ids grows with the documents.
+    joined = docs.join(decided.hint("merge"), docs[id_column].eqNullSafe(F.col("kept_id")))
     if decided.where("n_rows > 1 and kept_id is not null").isEmpty():
         return joined.select(*(docs[c] for c in docs.columns))
     single = F.row_number().over(Window.partitionBy(docs[id_column], F.when(docs[id_column].isNull(), F.monotonically_increasing_id())).orderBy(docs[text_column]))
