@@ -28,9 +28,9 @@ GRAM = 40
 #: Windows of a text that are looked at in one go.
 STRETCH = 1 << 23
 #: Bytes of text of a block whose anchors are sent together.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 16 << 20
 #: Anchors of a bucket, on average, before blocks are merged.
-BUCKET_ANCHORS = 2_000_000
+BUCKET_ANCHORS = 1_000_000
 LEAST_BUCKETS = 64
 
 _MIXER = np.uint64(0xD6E8FEB86659FD93)
