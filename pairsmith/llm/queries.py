@@ -2,9 +2,10 @@
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pairsmith.llm import decontaminate, embedding_dedup, language_id, lm_scoring, minhash_dedup, mixing, pii, shared, suffix_dedup, url_filter, warc
+from pairsmith.llm import decontaminate, embedding_dedup, filter_audit, language_id, lm_scoring, minhash_dedup, mixing, packing, pii, resampling, shared, suffix_dedup, url_filter, warc
 from pairsmith.session import scratch
 
 #: The key of the surrogates in the registered query; users bring their own.
@@ -71,6 +72,19 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), keep=["doc_id"]).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(spark, f"{sf_dir}/documents.parquet", _table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -89,6 +103,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontaminate": op8,
         "op9_pii_surrogates": op9,
         "op10_mix": op10,
+        "op11_best_fit_packing": op11,
+        "op12_importance_resampling": op12,
+        "op13_filter_audit": op13,
         "pipeline": pipeline,
     }
 
@@ -201,5 +218,43 @@ select doc_id, size, source_size, target::double as target, (size * (whole + cas
 """
 
 
+# crc32 by its byte table; distinct features only, as the lists of bytes are long.
+OP12_SQL = r"""
+with crc as (select list(c order by b) as c from (select b, list_reduce(range(8), lambda c, i: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, b) as c from range(256) t(b))),
+docs as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+bench as (select regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+runs as (select doc_id, 0 as side, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as f from docs
+         union all select null, 1, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) from bench),
+hexed as (select f, hex(encode(f)) as x from (select distinct f from runs)),
+named as (select f, xor(list_reduce(list_transform(range(len(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::bigint), lambda a, b: xor(a >> 8, c[(xor(a, b) & 255) + 1]), 4294967295), 4294967295) % 10000 as bucket from hexed, crc),
+placed as (select doc_id, side, bucket from runs join named using (f)),
+counts as (select b.bucket, count(*) filter (side = 0) as s, count(*) filter (side = 1) as t from (select range as bucket from range(10000)) b left join placed p on p.bucket = b.bucket group by b.bucket),
+gains as (select bucket, floor(1000 * ln((t + 1)::double * (sum(s) over () + 10000)::double / ((s + 1)::double * (sum(t) over () + 10000)::double)))::bigint as gain from counts),
+sums as (select doc_id, count(*) as n, floor(sum(gain)::double / count(*))::bigint as weight from placed join gains using (bucket) where side = 0 group by doc_id),
+scored as (select docs.doc_id, len(w) as n_words, coalesce(n, 0) as n_features, coalesce(weight, 0) as weight,
+           coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || docs.doc_id), 1, 8))::bigint::double + 0.5) / 4294967296)))::bigint as score from docs left join sums using (doc_id)),
+drawn as (select doc_id, row_number() over (order by score desc, doc_id) as rank from scored where n_words >= 20 qualify rank <= 25 * count(*) over () // 100)
+select doc_id, n_features::bigint as n_features, weight::bigint as weight, score::bigint as score, drawn.rank::bigint as rank from scored left join drawn using (doc_id)
+"""
+
+OP13_SQL = r"""
+with words as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+flags as (select doc_id, part, len(w) < 50 as a, 100 * len(list_distinct(w)) < 65 * len(w) as b, 100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * len(t) as c,
+          regexp_matches(t, '[#$%&*|]') as d, doc_id > min(doc_id) over (partition by t) as e from words),
+marks as (select doc_id, max(quality) = 1 as good, max(toxic) = 1 as toxic from labels group by doc_id),
+docs as (select part, a::int + 2 * b::int + 4 * c::int + 8 * d::int + 16 * coalesce(e, false)::int as mask, coalesce(good, false) as good, coalesce(toxic, false) as toxic from flags left join marks using (doc_id)),
+cells as (select part, mask, count(*) as n, count(*) filter (good) as good, count(*) filter (toxic) as toxic from docs group by all),
+letters as (select unnest(['A', 'B', 'C', 'D', 'E']) as x, unnest([1, 2, 4, 8, 16]) as bit),
+orders as (select p.x || q.x || r.x || s.x || t.x as filter_order from letters p, letters q, letters r, letters s, letters t where len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5),
+steps as (select filter_order, step::int as step, bit as own, (select coalesce(sum(l.bit), 0) from letters l where instr(filter_order, l.x) < step)::int as before from orders, range(1, 6) r(step), letters where x = substr(filter_order, step::int, 1)),
+each as (select part, filter_order, step, own, coalesce(sum(n) filter (mask & (before | own) = 0), 0) as kept, coalesce(sum(n) filter (mask & before = 0 and mask & own <> 0), 0) as removed,
+         coalesce(sum(n) filter (mask & before <> 0 and mask & own <> 0), 0) as redundant, coalesce(sum(n) filter (mask = own), 0) as unique_fails,
+         coalesce(sum(good) filter (mask & before = 0 and mask & own <> 0), 0) as good_lost, coalesce(sum(toxic) filter (mask & before = 0 and mask & own <> 0), 0) as toxic_lost
+         from cells, steps group by part, filter_order, step, own, before)
+select part, filter_order, step, kept::bigint as kept, removed::bigint as removed, redundant::bigint as redundant, unique_fails::bigint as unique_fails, good_lost::bigint as good_lost,
+       toxic_lost::bigint as toxic_lost, (sum(removed) over (partition by part, own))::bigint as shapley from each
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": OP3_SQL, "op4_url_filter": OP4_SQL, "op5_embedding_dedup": OP5_SQL, "op6_minhash_dedup": OP6_SQL, "op8_decontaminate": OP8_SQL, "op10_mix": OP10_SQL}
+    return {"op3_warc": OP3_SQL, "op4_url_filter": OP4_SQL, "op5_embedding_dedup": OP5_SQL, "op6_minhash_dedup": OP6_SQL, "op8_decontaminate": OP8_SQL, "op10_mix": OP10_SQL, "op12_importance_resampling": OP12_SQL, "op13_filter_audit": OP13_SQL}

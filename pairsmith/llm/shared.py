@@ -1,5 +1,6 @@
 """Helpers that several operators of this subpackage use."""
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,6 +13,7 @@ from pairsmith.session import scratch
 BATCH_ROWS = 1_000
 BATCH_BYTES = 16 << 20
 
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _MIXER = np.uint64(0xD6E8FEB86659FD93)
 
@@ -67,6 +69,15 @@ def words(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()
 
 
+def word_parts(text: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The words of a text, part by part, so that the words of a very long text are never in memory at once."""
+    start = 0
+    while len(text) - start > size and (blank := _BLANK.search(text, start + size)):
+        yield text[start : blank.start()].split()
+        start = blank.start()
+    yield text[start:].split()
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit numbers."""
     x = (x ^ (x >> np.uint64(32))) * _MIXER
