@@ -34,11 +34,6 @@ def dot(left: Column, right: Column) -> Column:
     return F.aggregate(products, F.lit(0.0), lambda total, x: total + x)
 
 
-def linear_head(vector: Column, weights: list[list[float]]) -> Column:
-    """``vector`` times the transposed weight rows; one output per row."""
-    return F.array(*[dot(vector, F.array(*[F.lit(float(w)) for w in row])) for row in weights])
-
-
 def rotated(items: Column, offset: Column, length: int) -> Column:
     """``length`` items from ``offset`` on, going round once."""
     return F.slice(F.concat(items, items), offset + 1, F.lit(length))

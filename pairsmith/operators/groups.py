@@ -58,9 +58,11 @@ def sample_record(
     key: str = "key",
     fixed_positive: bool = False,
     fixed_negatives: bool = False,
+    lengths: dict[str, int] | None = None,
 ) -> DataFrame:
     """``passages`` of one epoch: a positive and n−1 negatives, from the arrays of each row.
 
+    Records of ids are cut to ``lengths`` of query, passages and labels, where given.
     No state and no shuffle, so it serves a stream of records as it serves a batch.
     """
     k = n_passages - 1
@@ -93,7 +95,11 @@ def sample_record(
     else:
         full = arrays.rotated(mixed, F.pmod(F.lit(epoch * k), F.greatest(size, F.lit(1))), k)
     passages = F.concat(F.array(chosen), F.when(size < k, short).otherwise(full))
-    return records.withColumn("passages", _of_size(passages, n_passages)).drop("positives", "negatives")
+    sampled = records.withColumn("passages", _of_size(passages, n_passages)).drop("positives", "negatives")
+    for name, length in (lengths or {}).items():
+        cut = F.transform(name, lambda p: arrays.truncate(p, length)) if name == "passages" else arrays.truncate(F.col(name), length)
+        sampled = sampled.withColumn(name, cut)
+    return sampled
 
 
 def _of_size(passages: Column, n_passages: int) -> Column:

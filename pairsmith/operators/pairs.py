@@ -81,13 +81,13 @@ def code_pairs(lines: DataFrame, prefer: str = "code_tokens") -> DataFrame:
     )
 
 
-def variant_counts(lines: DataFrame) -> DataFrame:
-    """How many rows came in, and from which token field."""
-    return lines.agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.count_if(F.col("code_tokens").isNotNull()).alias("n_code_tokens"),
-        F.count_if(F.col("code_tokens").isNull() & F.col("function_tokens").isNotNull()).alias("n_function_tokens"),
-    )
+def variant_counts() -> dict[str, Column]:
+    """How many rows came in, and from which token field, as aggregates for a write to fill."""
+    return {
+        "n_rows": F.count(F.lit(1)),
+        "n_code_tokens": F.count_if(F.col("code_tokens").isNotNull()),
+        "n_function_tokens": F.count_if(F.col("code_tokens").isNull() & F.col("function_tokens").isNotNull()),
+    }
 
 
 def test_queries(examples: DataFrame) -> DataFrame:

@@ -13,11 +13,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from pairsmith.functions import arrays
+from pairsmith.operators.order import group_row_number
 
 MAX_BROADCAST_BYTES = 64 << 20
 CELL_BYTES = 64 << 20
+# Queries and passages of a cell of a batch's score matrix.
+CELL_ROWS = 2_048
 # Scores are compared after rounding: equal vectors tie, whatever the block shapes.
 SCORE_DIGITS = 9
 # Elements of one score matrix in memory.
@@ -28,6 +32,11 @@ def _type(df: DataFrame, column: str) -> str:
     return dict(df.dtypes)[column]
 
 
+def id_types(queries: DataFrame, documents: DataFrame) -> tuple[str, str, pa.DataType]:
+    """The types of the ids that a fold gives out."""
+    return _type(queries, "query_id"), _type(documents, "doc_id"), to_arrow_type(documents.schema["doc_id"].dataType)
+
+
 def score_aligned(queries: DataFrame, documents: DataFrame, key: str) -> DataFrame:
     """Dot product of the two rows with the same key."""
     left = queries.withColumnRenamed("vector", "_q")
@@ -64,8 +73,8 @@ def _score_slices(queries: np.ndarray, documents: np.ndarray) -> Iterator[tuple[
 class TopK:
     """The k best documents per query: score descending, then id ascending. Ids are of any type that sorts."""
 
-    def __init__(self, k: int, query_type: str = "bigint", document_type: str = "bigint"):
-        self.k = k
+    def __init__(self, k: int, query_type: str = "bigint", document_type: str = "bigint", kind: pa.DataType = pa.int64()):
+        self.k, self.kind = k, kind
         self.schema = f"query_id {query_type}, doc_id {document_type}, score double"
 
     def start(self, queries: pa.Table) -> None:
@@ -73,18 +82,18 @@ class TopK:
         self.queries = _matrix(_column(queries, "vector"))
         self.scores = np.full((len(self.ids), 0), -np.inf)
         self.docs = np.empty((len(self.ids), 0), object)
-        self.kind = None
 
     def add(self, documents: pa.Table) -> None:
         """One sort for all queries of a slice: their best so far beside the new scores."""
         column = _column(documents, "doc_id")
-        self.kind = column.type
         order = np.asarray(pc.sort_indices(column))
         ids = np.array(column.to_pylist(), object)[order]
         matrix = _matrix(_column(documents, "vector"))[order]
+        documents = documents.take(order)
         width = min(self.k, self.scores.shape[1] + len(ids))
         scores, docs = np.full((len(self.ids), width), -np.inf), np.empty((len(self.ids), width), object)
         for rows, new in _score_slices(self.queries, matrix):
+            self.seen(rows, new, documents)
             top = np.argsort(-new, axis=1, kind="stable")[:, : self.k]  # equal scores stay in id order
             both = np.concatenate([self.scores[rows], np.take_along_axis(new, top, axis=1)], axis=1)
             names = np.concatenate([self.docs[rows], ids[top]], axis=1)
@@ -94,6 +103,9 @@ class TopK:
             scores[rows], docs[rows] = both[place, best], names[place, best]
         self.scores, self.docs = scores, docs
 
+    def seen(self, rows: slice, scores: np.ndarray, documents: pa.Table) -> None:
+        """What a fold with further measures takes from a block of scores; nothing here."""
+
     def finish(self) -> pa.Table:
         width = self.scores.shape[1]
         return pa.table(
@@ -105,6 +117,38 @@ class TopK:
         )
 
 
+class Measures(TopK):
+    """The k best documents per query, and from the same scores two counts for each query.
+
+    ``n_better``: documents other than its own that score at least as high as its
+    own; ``n_relevant``: documents with the query's label. The counts come as
+    rows without a document.
+    """
+
+    def __init__(self, k: int, *types):
+        super().__init__(k, *types)
+        self.schema += ", n_better bigint, n_relevant bigint"
+
+    def start(self, queries: pa.Table) -> None:
+        super().start(queries)
+        self.names = np.array(self.ids.to_pylist())
+        self.own = np.asarray(_column(queries, "own_score"), dtype=np.float64)
+        self.labels = np.array(_column(queries, "label").to_pylist())
+        self.better, self.relevant = np.zeros((2, len(self.ids)), np.int64)
+
+    def seen(self, rows: slice, scores: np.ndarray, documents: pa.Table) -> None:
+        ids, labels = (np.array(_column(documents, name).to_pylist()) for name in ("doc_id", "label"))
+        self.better[rows] += ((scores >= self.own[rows, None]) & (ids[None, :] != self.names[rows, None])).sum(axis=1)
+        self.relevant[rows] += (labels[None, :] == self.labels[rows, None]).sum(axis=1)
+
+    def finish(self) -> pa.Table:
+        top = super().finish()
+        none = pa.nulls(top.num_rows, pa.int64())
+        top = top.append_column("n_better", none).append_column("n_relevant", none)
+        counts = {"query_id": self.ids, "doc_id": pa.nulls(len(self.ids), top.schema.field("doc_id").type), "score": pa.nulls(len(self.ids), pa.float64())}
+        return pa.concat_tables([top, pa.table(counts | {"n_better": self.better, "n_relevant": self.relevant}, schema=top.schema)])
+
+
 class AtLeastAsGood:
     """Per query, the number of documents other than its own that score at least as high as its own."""
 
@@ -241,7 +285,7 @@ def fold_scores(
 
 def top_k(queries: DataFrame, documents: DataFrame, k: int, **sizes) -> DataFrame:
     """(query_id, doc_id, score, rank): the k nearest documents of each query, rank from 1."""
-    fold = TopK(k, _type(queries, "query_id"), _type(documents, "doc_id"))
+    fold = TopK(k, *id_types(queries, documents))
     partial = fold_scores(queries.select("query_id", "vector"), documents.select("doc_id", "vector"), fold, **sizes)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return partial.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
@@ -272,21 +316,55 @@ def pair_ranks(queries: DataFrame, documents: DataFrame, by: str | None = None,
     return fold_scores(known, d, fold, **sizes).groupBy(*keys, "query_id").agg((1 + F.sum("n_better")).alias("rank"))
 
 
-def contrastive_loss(vectors: DataFrame, passages_per_query: int) -> DataFrame:
-    """Mean cross entropy of each batch: the target of row i is its own first passage.
+def contrastive_loss(vectors: DataFrame, passages_per_query: int, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """(batch_id, n, loss): mean cross entropy of each batch; the target of row i is its own first passage.
 
     ``vectors``: batch_id, side ('q' or 'p'), position in the batch, vector. A
-    batch has the size of a training batch, so its matrix fits one task.
+    batch may have any size: its score matrix is dealt out to cells of
+    ``cell_rows`` queries and passages. A cell gives each of its queries the
+    maximum of its scores and the sum of their exponentials below that maximum;
+    such pairs merge in any order to the logarithm of the whole row's sum. A
+    query without its passage is an error.
     """
+    keys = ["batch_id", "side"]
+    placed = group_row_number(vectors.select(*keys, "position", "vector"), keys, [F.col("position")], "_number")
+    placed = placed.withColumn("place", F.col("_number") - 1).withColumn("block", F.floor(F.col("place") / cell_rows))
+    blocks = placed.groupBy("batch_id").agg(
+        *(F.max(F.when(F.col("side") == side, F.col("block"))).alias(f"last_{side}") for side in "qp")
+    )
+    placed = placed.join(blocks, "batch_id")
 
-    def loss(batch: pa.Table) -> pa.Table:
-        batch = batch.sort_by([("side", "ascending"), ("position", "ascending")])
-        is_query = np.asarray(_column(batch, "side").cast(pa.string()).to_pylist()) == "q"
-        rows = _matrix(_column(batch, "vector"))
-        scores = rows[is_query] @ rows[~is_query].T
-        target = scores[np.arange(len(scores)), np.arange(len(scores)) * passages_per_query]
-        top = scores.max(axis=1)
-        losses = top + np.log(np.exp(scores - top[:, None]).sum(axis=1)) - target
-        return pa.table({"batch_id": _column(batch, "batch_id")[:1], "n": [len(scores)], "loss": [losses.mean()]})
+    def dealt(side: str, other: str, own: str, all_of: str) -> DataFrame:
+        rows = placed.where(F.col("side") == side).where(F.col(f"last_{other}").isNotNull())
+        copies = F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"last_{other}")))
+        fresh = (F.col(c).alias(c) for c in ("batch_id", "place", "vector"))  # both sides come from one table
+        return rows.select(*fresh, F.col("block").alias(own), copies.alias(all_of))
 
-    return vectors.groupBy("batch_id").applyInArrow(loss, "batch_id bigint, n bigint, loss double")
+    def cell(queries: pa.Table, passages: pa.Table) -> pa.Table:
+        scores = _matrix(_column(queries, "vector")) @ _matrix(_column(passages, "vector")).T
+        top = scores.max(axis=1)
+        total = np.exp(scores - top[:, None]).sum(axis=1)
+        return pa.table({"batch_id": _column(queries, "batch_id"), "place": _column(queries, "place"), "top": top, "total": total})
+
+    q, p = dealt("q", "p", "i", "j"), dealt("p", "q", "j", "i")
+    cells = q.groupBy("batch_id", "i", "j").cogroup(p.groupBy("batch_id", "i", "j"))
+    kind = _type(vectors, "batch_id")
+    parts = cells.applyInArrow(cell, f"batch_id {kind}, place bigint, top double, total double")
+
+    def merged(a, b):
+        top = F.greatest(a["top"], b["top"])
+        total = a["total"] * F.exp(a["top"] - top) + b["total"] * F.exp(b["top"] - top)
+        return F.struct(top.alias("top"), total.alias("total"))
+
+    listed = F.collect_list(F.struct("top", "total"))  # one pair a block of passages
+    rows = parts.groupBy("batch_id", "place").agg(listed.alias("pairs"))
+    whole = F.aggregate(F.slice("pairs", F.lit(2), F.size("pairs")), F.element_at("pairs", 1), merged)
+    rows = rows.select("batch_id", "place", whole.alias("sum"))
+
+    targets = placed.where(F.col("side") == "q").select("batch_id", "place", (F.col("place") * passages_per_query).alias("_target"), F.col("vector").alias("_q"))
+    passages = placed.where(F.col("side") == "p").select("batch_id", F.col("place").alias("_target"), F.col("vector").alias("_p"))
+    own = targets.join(passages, ["batch_id", "_target"], "left").join(rows, ["batch_id", "place"], "left")
+    missing = F.raise_error(F.lit("a query without its passage")).cast("double")
+    loss = F.col("sum.top") + F.log("sum.total") - arrays.dot(F.col("_q"), F.col("_p"))
+    losses = own.select("batch_id", F.when(F.col("_p").isNull(), missing).otherwise(loss).alias("loss"))
+    return losses.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"), F.avg("loss").alias("loss"))

@@ -8,6 +8,7 @@ from pairsmith.operators import entities, masking, pairs, vocabulary
 
 # Token budgets.
 PRETRAIN_LENGTHS = {"query": 60, "positive": 240, "label": 60}
+TOKEN_LENGTHS = PRETRAIN_LENGTHS
 FINETUNE_LENGTHS = {"query": 50, "positive": 256}
 SEED = 42
 
@@ -48,30 +49,34 @@ def masked(lines: DataFrame, seed: int = SEED) -> DataFrame:
     )
 
 
-def pretrain_records(masked_lines: DataFrame, words: vocabulary.Vocabulary) -> DataFrame:
-    query = text.word_tokens(text.joined_tokens(F.col("docstring_tokens")))
-    encoded = masked_lines.select(
+def pretrain_tokens(masked_lines: DataFrame) -> DataFrame:
+    """(url, query, positive, label): the token lists that become ids."""
+    return masked_lines.select(
         "url",
-        words.encode(query, PRETRAIN_LENGTHS["query"]).alias("query"),
-        words.encode(text.masked_tokens(F.col("masked")), PRETRAIN_LENGTHS["positive"]).alias("positive"),
-        words.encode(text.masked_tokens(F.col("label")), PRETRAIN_LENGTHS["label"]).alias("label"),
-    )
-    return encoded.select(
-        "url", F.col("url").alias("key"), *vocabulary.pretrain_record(F.col("query"), F.col("positive"), F.col("label"))
+        text.word_tokens(text.joined_tokens(F.col("docstring_tokens"))).alias("query"),
+        text.masked_tokens(F.col("masked")).alias("positive"),
+        text.masked_tokens(F.col("label")).alias("label"),
     )
 
 
-def finetune_records(lines: DataFrame, words: vocabulary.Vocabulary) -> DataFrame:
+def records_of(encoded: DataFrame) -> DataFrame:
+    """Records of (url, query, positive, label) as ids; a list without tokens is empty."""
+    lists = [F.coalesce(c, F.array().cast("array<int>")) for c in ("query", "positive", "label")]
+    return encoded.select("url", F.col("url").alias("key"), *vocabulary.pretrain_record(*lists))
+
+
+def pretrain_records(masked_lines: DataFrame, words: DataFrame, **sizes) -> DataFrame:
+    """``words``: a stored vocabulary of any size; ``url`` tells the lines apart."""
+    return records_of(vocabulary.encode_columns(pretrain_tokens(masked_lines), ["url"], TOKEN_LENGTHS, words, **sizes))
+
+
+def finetune_records(lines: DataFrame, words: DataFrame, **sizes) -> DataFrame:
     """(docstring, code) as ids, without negatives."""
     texts = pairs.code_pairs(lines)
-    positive = words.encode(text.word_tokens(F.col("code_text")), FINETUNE_LENGTHS["positive"])
-    return texts.select(
-        "url",
-        F.col("url").alias("key"),
-        words.encode(text.word_tokens(F.col("docstring")), FINETUNE_LENGTHS["query"]).alias("query"),
-        F.array(positive).alias("positives"),
-        F.array().cast("array<array<int>>").alias("negatives"),
-    )
+    tokens = texts.select("url", text.word_tokens(F.col("docstring")).alias("query"), text.word_tokens(F.col("code_text")).alias("positive"))
+    encoded = vocabulary.encode_columns(tokens, ["url"], FINETUNE_LENGTHS, words, **sizes)
+    none = F.array().cast("array<array<int>>")
+    return encoded.select("url", F.col("url").alias("key"), "query", F.array("positive").alias("positives"), none.alias("negatives"))
 
 
 def test_queries(lines: DataFrame) -> DataFrame:

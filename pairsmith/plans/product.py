@@ -48,18 +48,20 @@ def masked(texts: DataFrame, title: str, body: str) -> DataFrame:
     )
 
 
-def pretrain_records(masked_pairs: DataFrame, words: vocabulary.Vocabulary) -> DataFrame:
-    encoded = masked_pairs.select(
+def pretrain_records(masked_pairs: DataFrame, words: DataFrame, **sizes) -> DataFrame:
+    """``words``: a stored vocabulary of any size. (query_id, product_id) tells the pairs apart."""
+    key = F.concat_ws(":", F.col("query_id").cast("string"), F.col("product_id").cast("string")).alias("key")
+    tokens = masked_pairs.select(
         "query_id",
         "product_id",
-        words.encode(text.word_tokens(F.col("query")), PRETRAIN_LENGTHS["query"]).alias("query"),
-        words.encode(text.masked_tokens(F.col("masked")), PRETRAIN_LENGTHS["positive"]).alias("positive"),
-        words.encode(text.masked_tokens(F.col("label")), PRETRAIN_LENGTHS["label"]).alias("label"),
+        key,
+        text.word_tokens(F.col("query")).alias("query"),
+        text.masked_tokens(F.col("masked")).alias("positive"),
+        text.masked_tokens(F.col("label")).alias("label"),
     )
-    kept = vocabulary.drop_empty(encoded)
+    kept = vocabulary.drop_empty(vocabulary.encode_columns(tokens, ["key"], PRETRAIN_LENGTHS, words, **sizes))
     record = vocabulary.pretrain_record(F.col("query"), F.col("positive"), F.col("label"))
-    key = F.concat_ws(":", F.col("query_id").cast("string"), F.col("product_id").cast("string")).alias("key")
-    return kept.select("query_id", "product_id", key, *record)
+    return kept.select("query_id", "product_id", "key", *record)
 
 
 def finetune_items(examples: DataFrame, texts: DataFrame) -> DataFrame:

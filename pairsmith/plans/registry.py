@@ -315,6 +315,10 @@ def _vocabulary(spark, sf_dir):
     return vocabulary.build_vocabulary(rows, N_WORDS)
 
 
+def _stored(spark, sf_dir):
+    return vocabulary.stored(_vocabulary(spark, sf_dir))
+
+
 @_query("select token, n, id from vocab", _COUNTED)
 def vocab_build(spark, sf_dir):
     return _vocabulary(spark, sf_dir)
@@ -322,21 +326,21 @@ def vocab_build(spark, sf_dir):
 
 @_query("select doc_id, string_agg(coalesce(id, 1)::varchar, '|' order by place) as ids from words left join vocab using (token) group by doc_id", _COUNTED)
 def encode_pairs(spark, sf_dir):
-    words = vocabulary.Vocabulary(_vocabulary(spark, sf_dir))
+    words = vocabulary.Vocabulary(_stored(spark, sf_dir))
     ids = words.encode(text.word_tokens(F.col("text")), 50)
     return tables.table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.transform(ids, lambda x: x.cast("string")), LIST).alias("ids"))
 
 
 @_query("select doc_id, string_agg(case when id is null then '<unk>' else token end, ' ' order by place) as decoded from words left join vocab using (token) group by doc_id", _COUNTED)
 def decode_ids(spark, sf_dir):
-    words = vocabulary.Vocabulary(_vocabulary(spark, sf_dir))
+    words = vocabulary.Vocabulary(_stored(spark, sf_dir))
     encoded = tables.table(spark, sf_dir, "documents").select("doc_id", words.encode(text.word_tokens(F.col("text")), 50).alias("ids"))
     return encoded.select("doc_id", F.array_join(words.decode(F.col("ids")), " ").alias("decoded"))
 
 
 @_query()
 def pad_batches(spark, sf_dir):
-    words = vocabulary.Vocabulary(_vocabulary(spark, sf_dir))
+    words = vocabulary.Vocabulary(_stored(spark, sf_dir))
     encoded = tables.table(spark, sf_dir, "documents").select("doc_id", words.encode(text.word_tokens(F.col("text")), 50).alias("ids"))
     padded = order.assign_batches(encoded, [F.col("doc_id")], 16)
     return padded.select("doc_id", "batch_id", *vocabulary.pad_batch(F.col("ids"), 64)).withColumn("labels", arrays.ignore_padding(F.col("input_ids")))
@@ -356,7 +360,9 @@ def code_pairs(spark, sf_dir):
 
 @_query("select count(*) as n_rows, count(*) filter (not by_function) as n_code_tokens, count(*) filter (by_function) as n_function_tokens from code_pairs", CODE)
 def variant_counts(spark, sf_dir):
-    return pairs.variant_counts(_code(spark, sf_dir))
+    lines = _code(spark, sf_dir).select("code_tokens", "function_tokens", "docstring_tokens", "url")
+    counted = files.write_json_lines(lines, scratch(spark, "lines"), pairs.variant_counts())
+    return spark.createDataFrame([counted], "n_rows long, n_code_tokens long, n_function_tokens long")
 
 
 @_query()
@@ -537,11 +543,16 @@ def best_checkpoint(spark, sf_dir):
     return metrics.best_checkpoint(_measured(spark, sf_dir))
 
 
-@_query()
+@_query("""with rows as (select vec_id, embedding::double[] as v, (row_number() over (order by vec_id) - 1) // 32 as batch_id from embeddings),
+sided as (select *, row_number() over (partition by batch_id, vec_id % 2 order by vec_id) as place from rows),
+scores as (select q.batch_id, q.place, q.place = p.place as own, list_dot_product(q.v, p.v) as s from sided q join sided p using (batch_id) where q.vec_id % 2 = 0 and p.vec_id % 2 = 1),
+tops as (select batch_id, place, max(s) as top, max(s) filter (own) as target from scores group by all),
+losses as (select batch_id, place, any_value(top) + ln(sum(exp(s - top))) - any_value(target) as loss from scores join tops using (batch_id, place) group by all)
+select batch_id, count(*) as n, round(avg(loss), 6) as loss from losses group by batch_id""")
 def contrastive_loss(spark, sf_dir):
     rows = order.assign_batches(tables.vectors(spark, sf_dir).select("vec_id", "vector"), [F.col("vec_id")], 32)
     sided = rows.select("batch_id", F.when(F.col("vec_id") % 2 == 0, "q").otherwise("p").alias("side"), "position", "vector")
-    return retrieval.contrastive_loss(sided, 1)
+    return retrieval.contrastive_loss(sided, 1).withColumn("loss", F.round("loss", 6))
 
 
 @_query()

@@ -46,4 +46,10 @@ EMBEDDINGS = T.StructType([
     T.StructField("embedding", T.ArrayType(T.FloatType())),
 ])
 
+METRICS = T.StructType([
+    T.StructField("value", T.DoubleType()),
+    T.StructField("name", T.StringType()),
+    T.StructField("step", T.LongType()),
+])
+
 RUN_COLUMNS = ("query_id", "Q0", "passage_id", "rank", "score", "tool")

@@ -1,10 +1,12 @@
 """Files read and written by the jobs."""
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 from pairsmith import schemas
 from pairsmith.functions.text import ws_tokens
 
+CHECKPOINT_FOLDER = r"/(checkpoint-[0-9]+)/[^/]+$"
+
 
 def read_json_lines(spark: SparkSession, path: str, schema: T.StructType = schemas.CODE_LINES) -> DataFrame:
     """One object per line; a line that is not one is an error, not a null row."""
@@ -40,14 +42,44 @@ def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.EMBEDDINGS).parquet(path).select(F.col("id").cast("bigint").alias("id"), "embedding")
 
 
-def list_checkpoints(paths: DataFrame, column: str = "path") -> DataFrame:
-    """``…/checkpoint-<step>`` paths with their step; other names are left out."""
-    step = F.regexp_extract(column, r"checkpoint-([0-9]+)/?$", 1)
-    return paths.withColumn("step", F.when(step != "", step.cast("bigint"))).where(F.col("step").isNotNull())
+def list_checkpoints(spark: SparkSession, root: str) -> DataFrame:
+    """(checkpoint, step, n_files) of the ``checkpoint-<step>`` folders below ``root``; folders of other names are left out.
+
+    Spark lists the files; none is opened.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
+    folder = F.regexp_extract("path", CHECKPOINT_FOLDER, 1)
+    listed = found.where(folder != "").groupBy(folder.alias("checkpoint")).agg(F.count(F.lit(1)).alias("n_files"))
+    return listed.select("checkpoint", F.regexp_extract("checkpoint", "([0-9]+)$", 1).cast("bigint").alias("step"), "n_files")
+
+
+def read_checkpoints(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
+    """The rows of all ``checkpoint-<step>`` folders below ``root``, with their step."""
+    rows = spark.read.schema(schema).parquet(f"{root.rstrip('/')}/checkpoint-[0-9]*")
+    folder = F.regexp_extract(F.col("_metadata.file_path"), CHECKPOINT_FOLDER, 1)
+    return rows.withColumn("step", F.regexp_extract(folder, "([0-9]+)$", 1).cast("bigint"))
+
 
+def write_checkpoints(df: DataFrame, root: str, steps: list[int]) -> None:
+    """The rows of each step in a folder of its own."""
+    for step in steps:
+        df.where(F.col("step") == step).drop("step").write.parquet(f"{root.rstrip('/')}/checkpoint-{step}")
 
-def write_json_lines(df: DataFrame, path: str) -> None:
-    df.write.option("ignoreNullFields", True).json(path)
+
+def write_json_lines(df: DataFrame, path: str, counts: dict[str, Column] | None = None) -> dict:
+    """One object per row; the ``counts`` (aggregates by name) are filled by the write itself, without a second pass."""
+    seen = Observation()
+    observed = df.observe(seen, *(c.alias(name) for name, c in counts.items())) if counts else df
+    observed.write.option("ignoreNullFields", True).json(path)
+    return seen.get if counts else {}
+
+
+def write_json_arrays(df: DataFrame, path: str, key: list[str], rows: int = 10_000) -> None:
+    """Arrays of about ``rows`` objects, one on each line; the rows of an array share a hash of the key."""
+    arrays = max(1, -(-df.count() // rows))
+    bucket = F.pmod(F.xxhash64(*key), F.lit(arrays)).alias("_array")
+    listed = df.groupBy(bucket).agg(F.to_json(F.collect_list(F.struct(*df.columns))).alias("value"))
+    listed.select("value").write.text(path)
 
 
 def write_hypothesis(scored: DataFrame, path: str) -> None:
@@ -62,6 +94,11 @@ def write_spaced(df: DataFrame, path: str) -> None:
     df.write.csv(path, sep=" ", header=False)
 
 
-def append_metrics(df: DataFrame, path: str) -> None:
-    """(name, step, value) points, added to those already there."""
-    df.select("name", "step", "value").write.mode("append").parquet(path)
+def log_metrics(df: DataFrame, path: str) -> None:
+    """(name, step, value) points; those of the same name and step are replaced, so a rerun adds no second point."""
+    points = df.select("value", "name", "step")
+    points.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("name", "step").parquet(path)
+
+
+def read_metrics(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(schemas.METRICS).parquet(path)
