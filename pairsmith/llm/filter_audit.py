@@ -6,12 +6,14 @@ depends on the whole table: the state of a text is the smallest id so far, with
 what was counted for it. When a smaller id arrives, the earlier mask is counted
 down and counted up again with the copy's bit. The sums of all such changes are
 the counts of every part and mask, from which the report of every filter order
-follows.
+follows. The states of some hundred texts, by a hash of the text, are one entry
+of Spark's state store, as each entry costs a call of Python; the session's
+setting says which store that is (on disk, RocksDB, for large corpora).
 """
 
 import hashlib
 import itertools
-import json
+import pickle
 from collections import Counter
 from collections.abc import Iterator
 
@@ -34,19 +36,16 @@ MOST_CAPITALS = 5
 SYMBOLS = b"#$%&*|"
 #: Micro-batches that the files are dealt out to.
 BATCHES = 4
+#: Documents to an entry of the state store.
+TEXTS = 256
 #: Texts that a task gathers before it sends them to their states.
 GATHERED = 50_000
 
 _CAPITALS = bytes(range(ord("A"), ord("Z") + 1))
 _CONTINUING = bytes(range(0x80, 0xC0))
-_PASSED = b"\x00"
 _COUNTED = "part string, mask int, good boolean, toxic boolean, n long"
 _ARROW = pa.schema([("part", pa.string()), ("mask", pa.int32()), ("good", pa.bool_()), ("toxic", pa.bool_()), ("n", pa.int64())])
-_KEYED = pa.schema([("key", pa.binary()), ("id", pa.int64()), *_ARROW])
-_STATES = {
-    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
-}
+_KEYED = pa.schema([("bucket", pa.int64()), ("digest", pa.binary()), ("id", pa.int64()), *_ARROW])
 
 
 def mask(text: bytes) -> int:
@@ -74,63 +73,69 @@ def _counts(counts: Counter) -> list[list]:
     return [list(column) for column in zip(*rows)] or [[] for _ in _ARROW]
 
 
-def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _gathered(buckets: int):
     """What a task knows of each of its texts: the rows of the smallest id; the others are copies for good.
 
-    Settled counts go by the task's own key, so that they meet in no single group.
+    Settled counts have no text, and go to a bucket that depends on the task.
     """
-    texts: dict[bytes, tuple[int, Counter]] = {}
-    settled: Counter = Counter()
-    own = _PASSED + TaskContext.get().partitionId().to_bytes(4)
 
-    def sent() -> pa.RecordBatch:
-        rows = [(b"\x01" + key, low, *row, n) for key, (low, held) in texts.items() for row, n in held.items()]
-        rows += [(own, None, *row, n) for row, n in settled.items()]
-        texts.clear()
-        settled.clear()
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(_KEYED), _KEYED)], schema=_KEYED)
-
-    for batch in batches:
-        for id_, part, bits, good, toxic, key in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns))):
-            row = (part, bits, good, toxic)
-            if id_ is None:
-                settled[row] += 1
-                continue
-            low, held = texts.get(key, (None, None))
-            if low is None or id_ < low:
-                for (p, m, g, t), n in (held or {}).items():
-                    settled[p, m | COPY, g, t] += n
-                texts[key] = (id_, Counter({row: 1}))
-            elif id_ == low:
-                held[row] += 1
-            else:
-                settled[part, bits | COPY, good, toxic] += 1
-        if len(texts) >= GATHERED:
-            yield sent()
-    yield sent()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts: dict[bytes, tuple[int, Counter]] = {}
+        settled: Counter = Counter()
+        own = TaskContext.get().partitionId() % buckets
+
+        def sent() -> pa.RecordBatch:
+            rows = [(int.from_bytes(key[:7]) % buckets, key, low, *row, n) for key, (low, held) in texts.items() for row, n in held.items()]
+            rows += [(own, None, 0, *row, n) for row, n in settled.items()]
+            texts.clear()
+            settled.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(_KEYED), _KEYED)], schema=_KEYED)
+
+        for batch in batches:
+            for id_, part, bits, good, toxic, key in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns))):
+                row = (part, bits, good, toxic)
+                if id_ is None:
+                    settled[row] += 1
+                    continue
+                low, held = texts.get(key, (None, None))
+                if low is None or id_ < low:
+                    for (p, m, g, t), n in (held or {}).items():
+                        settled[p, m | COPY, g, t] += n
+                    texts[key] = (id_, Counter({row: 1}))
+                elif id_ == low:
+                    held[row] += 1
+                else:
+                    settled[part, bits | COPY, good, toxic] += 1
+            if len(texts) >= GATHERED:
+                yield sent()
+        yield sent()
+
+    return run
 
 
 def _retracted(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Changes of the counts that new rows of a text bring, and its new smallest id."""
+    """Changes of the counts that new rows bring to a bucket's texts, and their new smallest ids."""
     changes: Counter = Counter()
-    low, held = None, Counter()
-    own = not key[0].startswith(_PASSED)
-    if own and state.exists:
-        low, kept = state.get
-        held = Counter({tuple(row): n for *row, n in json.loads(kept)})
+    texts: dict[bytes, tuple[int, dict]] = pickle.loads(state.get[0]) if state.exists else {}
     for frame in frames:
-        for id_, part, bits, good, toxic, n in zip(*(frame[c].tolist() for c in ("id", "part", "mask", "good", "toxic", "n"))):
+        for digest, id_, part, bits, good, toxic, n in zip(*(frame[c].tolist() for c in ("digest", "id", *_ARROW.names))):
             row = (part, bits, good, toxic)
-            if own and (low is None or id_ < low):
+            if digest is None:
+                changes[row] += n
+                continue
+            low, held = texts.get(digest, (None, {}))
+            if low is None or id_ < low:
                 for (p, m, g, t), k in held.items():
                     changes[p, m, g, t] -= k
                     changes[p, m | COPY, g, t] += k
-                low, held = int(id_), Counter()
-            if own and id_ == low:
-                held[row] += n
-            changes[(part, bits, good, toxic) if not own or id_ == low else (part, bits | COPY, good, toxic)] += n
-    if own:
-        state.update((low, json.dumps([[*row, n] for row, n in held.items()])))
+                texts[digest] = (id_, {row: n})
+                changes[row] += n
+            elif id_ == low:
+                held[row] = held.get(row, 0) + n
+                changes[row] += n
+            else:
+                changes[part, bits | COPY, good, toxic] += n
+    state.update((pickle.dumps(texts),))
     yield pd.DataFrame(dict(zip(_ARROW.names, _counts(changes))))
 
 
@@ -165,6 +170,7 @@ def count(spark: SparkSession, path: str, labels: DataFrame, id_column: str = "d
     shared.small_batches(spark)
     table = spark.read.parquet(path)
     files = table.inputFiles()
+    buckets = max(1, table.count() // TEXTS)
     known = labels.groupBy(F.col(id_column).cast("long").alias("id")).agg(F.max(F.col("quality") == 1).alias("good"), F.max(F.col("toxic") == 1).alias("toxic"))
     known = shared.written(known.where("id is not null"), "labels")
     at = _globbed(path) if [_name(f) for f in files] == [_name(path)] else path
@@ -175,19 +181,12 @@ def count(spark: SparkSession, path: str, labels: DataFrame, id_column: str = "d
         rows = shared.appended(rows, [("mask", "int"), ("digest", "binary")], _masked).drop("text")
         flag = lambda name: F.coalesce(name, F.lit(False)).alias(name)
         rows = rows.join(known, "id", "left").select("id", "part", "mask", flag("good"), flag("toxic"), "digest")
-        keyed = rows.mapInArrow(_gathered, f"key binary, id long, {_COUNTED}")
-        moved = keyed.groupBy("key").applyInPandasWithState(_retracted, _COUNTED, "low long, held string", "append", GroupStateTimeout.NoTimeout)
+        keyed = rows.mapInArrow(_gathered(buckets), f"bucket long, digest binary, id long, {_COUNTED}")
+        moved = keyed.groupBy("bucket").applyInPandasWithState(_retracted, _COUNTED, "texts binary", "append", GroupStateTimeout.NoTimeout)
         return moved.mapInArrow(_summed, _COUNTED)
 
-    before = {name: spark.conf.get(name, None) for name in _STATES}
     out = scratch(spark, "audit")
-    try:
-        for name, value in _STATES.items():
-            spark.conf.set(name, value)
-        found = streams.run_available(stream, changes, f"{out}/changes", f"{out}/checkpoint")
-    finally:
-        for name, value in before.items():
-            spark.conf.set(name, value) if value is not None else spark.conf.unset(name)
+    found = streams.run_available(stream, changes, f"{out}/changes", f"{out}/checkpoint")
     return found.groupBy("part", "mask", "good", "toxic").agg(F.sum("n").alias("n")).where("n <> 0")
 
 

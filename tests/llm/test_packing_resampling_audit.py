@@ -278,9 +278,9 @@ def test_changes_take_back_what_a_smaller_id_makes_wrong():
 
     import pandas as pd
 
-    state, key = State(), (b"\x01text",)
-    frame = lambda *rows: [pd.DataFrame(list(rows), columns=["id", "part", "mask", "good", "toxic", "n"])]
-    call = lambda frames: sorted(map(tuple, pd.concat(filter_audit._retracted(key, iter(frames), state)).to_numpy().tolist()))
+    state, key = State(), (3,)
+    frame = lambda *rows: [pd.DataFrame([(b"text", *r) for r in rows] + [(b"other", 1, "c", 0, False, False, 1)], columns=["digest", "id", "part", "mask", "good", "toxic", "n"])]
+    call = lambda frames: sorted(r for r in map(tuple, pd.concat(filter_audit._retracted(key, iter(frames), state)).to_numpy().tolist()) if r[0] != "c")
     assert call(frame((9, "a", 1, False, True, 2))) == [("a", 1, False, True, 2)]
     assert call(frame((12, "b", 1, False, False, 1))) == [("b", 17, False, False, 1)]
     assert call(frame((4, "b", 1, True, False, 1))) == [("a", 1, False, True, -2), ("a", 17, False, True, 2), ("b", 1, True, False, 1)]
