@@ -127,14 +127,15 @@ def link(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "em
     Ids are whole numbers and unique; rows with a null label, or whose vector is
     null, empty, zero or holds a null or non-finite component, link with
     nothing; vectors of different lengths never link. Equal vectors of a label
-    are compared once, with their number. Rows with a null id are left out.
+    are compared once, with their number. A row with a null id links with
+    nothing; it has a null component_id and is kept.
     """
     spark = vectors.sparkSession
     shared.small_batches(spark)
     kind = np.float32 if dict(vectors.dtypes)[vector_column] == "array<float>" else np.float64  # sent as they are
-    rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(label_column).alias("label"), F.col(vector_column).cast("array<double>").alias("v")).where("id is not null")
+    rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(label_column).alias("label"), F.col(vector_column).cast("array<double>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("v", lambda x: x != 0)
-    usable = rows.where(F.col("label").isNotNull() & F.coalesce(finite, F.lit(False)))
+    usable = rows.where(F.col("id").isNotNull() & F.col("label").isNotNull() & F.coalesce(finite, F.lit(False)))
     labels = F.xxhash64("label").alias("label")
     classes = usable.groupBy(labels, "v").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     placed = classes.select("rep", "label", "v", "copies").mapInArrow(lambda b: _placed(b, threshold, blocks, grid, kind), "rep long, label long, size int, block int, x long, y long, turned binary, vector binary, copies long")
@@ -168,8 +169,8 @@ def link(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "em
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     groups = shared.components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     known = classes.join(counts, "rep", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("label").alias("l"), F.col("v").alias("w"), "rep", "copies", "links", "component")
-    own_label = F.when(F.coalesce(finite, F.lit(False)), F.when(F.col("label").isNotNull(), F.xxhash64("label")))
+    own_label = F.when(F.col("id").isNotNull() & F.coalesce(finite, F.lit(False)), F.when(F.col("label").isNotNull(), F.xxhash64("label")))
     joined = rows.withColumn("l", own_label).join(known.withColumnRenamed("l", "l2"), (F.col("l") == F.col("l2")) & (F.col("v") == F.col("w")), "left")
     component = F.coalesce("component", "rep", "id")
     n_links = F.coalesce(F.col("links"), F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))
-    return joined.select(F.col("id").alias(id_column), n_links.cast("long").alias("n_links"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
+    return joined.select(F.col("id").alias(id_column), n_links.cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))

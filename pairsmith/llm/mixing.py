@@ -1,9 +1,12 @@
 """Mixing sources to target weights by Pareto order sampling.
 
 Every document of a source is wanted ``target / source size`` times: the whole
-part is certain, the fraction f is sampled. A document with the random number u
-has the Pareto rank (u / (1 - u)) / (f / (1 - f)); the lowest ranks of a source
-are taken until their words fill what the certain copies leave of the target.
+part is certain, the fraction f is sampled. Documents have unequal inclusion
+odds, f / (1 - f) times the root of their length against the source's mean
+length, so longer ones are preferred. A document with the random number u has
+the Pareto rank of its random odds u / (1 - u) divided by its inclusion odds;
+the lowest ranks of a source are taken until their words fill what the certain
+copies leave of the target.
 """
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -29,6 +32,17 @@ def random_number(key: Column, seed: str) -> Column:
     return (F.conv(F.substring(digest, 1, _BITS // 4), 16, 10).cast("double") + 0.5) / float(1 << _BITS)
 
 
+def _lean(size: Column, mean: Column) -> Column:
+    """A document's odds against those of one of mean length."""
+    return F.sqrt((size + 1) / (mean + 1))
+
+
+def _order(u: Column, size: Column, mean: Column) -> Column:
+    """Between 0 and 1, in the order of the Pareto ranks of a source, whatever its fraction is."""
+    ratio = u / (1 - u) / _lean(size, mean)
+    return ratio / (1 + ratio)
+
+
 def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, limit: float = LIMIT) -> DataFrame:
     """(source, n, source_size, target) from (source, n, source_size), one row a source.
 
@@ -66,7 +80,7 @@ def mix(docs: DataFrame, id_column: str = "doc_id", source_column: str = "source
     size 0 gets nothing; an empty table stays empty. Only sums of a source's
     steps and the rows of the step where the target is met meet in one task.
     """
-    size = F.coalesce(F.col(size_column), F.lit(0)).cast("long")
+    size = F.coalesce(docs[size_column], F.lit(0)).cast("long")
     narrow = shared.written(
         docs.select(
             F.col(source_column).cast("string").alias("source"),
@@ -84,9 +98,10 @@ def mix(docs: DataFrame, id_column: str = "doc_id", source_column: str = "source
     })
     sources = shared.written(sources, "mix-sources")
 
-    step = F.floor(F.col("u") * F.col("steps")).alias("step")
-    rank = (F.col("u") / (1 - F.col("u"))) / (F.col("part") / (1 - F.col("part")))
-    needed = sources.select(F.col("source").alias("of_source"), "steps", "part", "rest")
+    mean = F.col("source_size") / F.col("n")
+    step = F.floor(_order(F.col("u"), F.col("size"), mean) * F.col("steps")).alias("step")
+    rank = (F.col("u") / (1 - F.col("u"))) / (F.col("part") / (1 - F.col("part")) * _lean(F.col("size"), mean))
+    needed = sources.select(F.col("source").alias("of_source"), "steps", "part", "rest", "source_size", "n")
     known = narrow.join(needed, F.col("source").eqNullSafe(F.col("of_source"))).select("source", "size", "key", "rest", step, F.when(F.col("part") > 0, rank).alias("rank"))
     sums = known.groupBy("source", "step").agg(F.sum("size").alias("in_step"), F.first("rest").alias("rest"))
     so_far = F.sum("in_step").over(Window.partitionBy("source").orderBy("step"))
@@ -97,13 +112,14 @@ def mix(docs: DataFrame, id_column: str = "doc_id", source_column: str = "source
     inside = inside.withColumn("middle", F.col("before") + F.sum("size").over(line) - F.col("size") / 2)
     last = inside.groupBy("source", "step").agg(F.max(F.when(F.col("middle") <= F.col("rest"), F.struct("rank", "key", "size"))).alias("last"))
     last = last.select(F.col("source").alias("cut_source"), F.col("step").alias("cut_step"), "last")
-    plan = sources.join(last, F.col("source").eqNullSafe(F.col("cut_source")), "left").select(F.col("source").alias("mix_source"), "source_size", "target", "whole", "part", "steps", "cut_step", "last")
+    plan = sources.join(last, F.col("source").eqNullSafe(F.col("cut_source")), "left").select(F.col("source").alias("mix_source"), "source_size", "n", "target", "whole", "part", "steps", "cut_step", "last")
     plan = shared.written(plan, "mix-plan")
 
     base = docs.drop("source_size", "target", "copies", "taken")
-    u = random_number(base[id_column], seed)
-    own = F.struct(F.when(F.col("p.part") > 0, (u / (1 - u)) / (F.col("p.part") / (1 - F.col("p.part")))).alias("rank"), F.coalesce(base[id_column].cast("string"), F.lit("")).alias("key"), F.coalesce(base[size_column], F.lit(0)).cast("long").alias("size"))
-    own_step = F.floor(u * F.col("p.steps"))
+    u, mean = random_number(base[id_column], seed), F.col("p.source_size") / F.col("p.n")
+    own_rank = (u / (1 - u)) / (F.col("p.part") / (1 - F.col("p.part")) * _lean(size, mean))
+    own = F.struct(F.when(F.col("p.part") > 0, own_rank).alias("rank"), F.coalesce(base[id_column].cast("string"), F.lit("")).alias("key"), size.alias("size"))
+    own_step = F.floor(_order(u, size, mean) * F.col("p.steps"))
     picked = (F.col("p.part") > 0) & ((own_step < F.col("p.cut_step")) | ((own_step == F.col("p.cut_step")) & F.coalesce(own <= F.col("p.last"), F.lit(False))))
     copies = (F.col("p.whole") + F.coalesce(picked, F.lit(False)).cast("long")).cast("long")
     joined = base.join(plan.alias("p"), base[source_column].cast("string").eqNullSafe(F.col("p.mix_source")))

@@ -28,7 +28,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held_out = F.coalesce(shared.crc_remainder("doc_id", 7) == 2, F.lit(False))
     scored = lm_scoring.score(docs, shared.crc_remainder("doc_id", 7) != 2)
-    return scored.withColumn("held_out", held_out)
+    scored = scored.withColumn("held_out", held_out)
+    return scored.select("doc_id", "held_out", *(c for c in scored.columns if c not in ("doc_id", "held_out")))
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,17 +203,17 @@ with d as (
          coalesce(cast(doc_id as varchar), '') as key,
          (('0x' || substr(md5('mix:' || coalesce(cast(doc_id as varchar), '')), 1, 13))::bigint::double + 0.5) / 4503599627370496.0 as u
   from documents),
-s as (select source, sum(size)::bigint as source_size from d group by source),
+s as (select source, sum(size)::bigint as source_size, count(*) as n from d group by source),
 w as (select *, (case (row_number() over (order by source asc nulls last) - 1) % 3 when 0 then 5.0 when 1 then 2.0 else 1.0 end)::double as weight, source_size * 2.0::double as most from s),
 f as (select *, sum(source_size) over () * 1.5::double as total,
         coalesce(sum(most) over (order by most / weight, source asc nulls last rows between unbounded preceding and 1 preceding), 0) as full_before,
         sum(weight) over (order by most / weight, source asc nulls last rows between current row and unbounded following) as weight_left from w),
 g as (select *, most / weight <= (total - full_before) / weight_left as is_full from f),
 h as (select *, sum(case when is_full then most else 0 end) over () as used, sum(case when is_full then 0 else weight end) over () as open from g),
-t as (select source, source_size, case when is_full then most else weight * ((total - used) / open) end as target from h),
+t as (select source, source_size, n, case when is_full then most else weight * ((total - used) / open) end as target from h),
 e as (select *, case when source_size > 0 then target / source_size else 0 end as wanted from t),
 p as (select *, floor(wanted) as whole, wanted - floor(wanted) as part, target - floor(wanted) * source_size as rest from e),
-r as (select doc_id, size, key, p.*, case when part > 0 then (u / (1 - u)) / (part / (1 - part)) end as pareto from d join p on d.source is not distinct from p.source),
+r as (select doc_id, size, key, p.*, case when part > 0 then (u / (1 - u)) / (part / (1 - part) * sqrt((size + 1) / (source_size / n + 1))) end as pareto from d join p on d.source is not distinct from p.source),
 c as (select *, sum(size) over (partition by source order by pareto, key, size rows unbounded preceding) - size / 2 as middle from r)
 select doc_id, size, source_size, target::double as target, (size * (whole + case when part > 0 and middle <= rest then 1 else 0 end))::bigint as taken from c
 """

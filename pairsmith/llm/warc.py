@@ -1,8 +1,8 @@
 """WARC archives of individually compressed records with a dictionary of their own.
 
-Each archive is what one task writes: a leading skippable frame holds a
-Zstandard dictionary that is built from the archive's first records, then every
-record is a frame of its own. Spark's text writer commits the files, so any
+A task writes archives of a stated number of records. In each a leading
+skippable frame holds a Zstandard dictionary that is built from the archive's
+first records, then every record is a frame of its own. Spark's text writer commits the files, so any
 store and any lost executor will do; its line separator is an empty skippable
 frame, which readers pass over.
 """
@@ -24,6 +24,8 @@ LEAST_REVISITED = 1_000
 #: Bytes of records, at most, from which an archive's dictionary is built, and its size.
 SAMPLE_BYTES = 2 << 20
 DICTIONARY_BYTES = 32 << 10
+#: Records of an archive.
+ARCHIVE_RECORDS = 10_000
 LEVEL = 3
 DATE = "2000-01-01T00:00:00Z"
 
@@ -74,44 +76,57 @@ def record(page: str | None, url: str | None, payload: bytes | None, digest: str
 _PLAIN = "".join(chr(c) for c in range(33, 127) if chr(c) != "%")
 
 
+def dictionary_of(sample: list[bytes]) -> zstandard.ZstdCompressionDict:
+    """A dictionary trained from the records; from a few records a small one, of the records repeated; at last the records themselves."""
+    small = max(256, min(DICTIONARY_BYTES, sum(map(len, sample)) // 4))
+    for times, size, k in ((1, DICTIONARY_BYTES, 512), (30, small, 64)):
+        try:
+            return zstandard.train_dictionary(size, sample * times, k=k, d=8)
+        except zstandard.ZstdError:
+            continue
+    return zstandard.ZstdCompressionDict(b"".join(sample)[-DICTIONARY_BYTES:], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+
+
 def write(decided: DataFrame, path: str) -> None:
-    """Archives of the rows of ``decide`` under ``path``, one for each task that has rows."""
+    """Archives of the rows of ``decide`` under ``path``: of ``ARCHIVE_RECORDS`` records, or what is left of a task's rows.
+
+    Each begins with its own dictionary, however few records it has. A table
+    without rows gives no archive; null urls and ids leave out their fields.
+    """
     shared.small_batches(decided.sparkSession)
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(rows: list[bytes]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["frame"])
 
-        def start(sample: list[bytes]):
-            try:
-                dictionary = zstandard.train_dictionary(DICTIONARY_BYTES, sample, k=512, d=8)
-            except zstandard.ZstdError:  # too few records
-                return None, zstandard.ZstdCompressor(level=LEVEL, write_checksum=True)
+        def started(sample: list[bytes]):
+            dictionary = dictionary_of(sample)
             data = dictionary.as_bytes()
             compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=dictionary, write_checksum=True)
-            return DICTIONARY_MAGIC + len(data).to_bytes(4, "little") + data, compressor
+            return compressor, out([DICTIONARY_MAGIC + len(data).to_bytes(4, "little") + data, *map(compressor.compress, sample)])
 
-        sample, size, compressor = [], 0, None
+        sample, size, n, compressor = [], 0, 0, None
         for batch in batches:
             names = batch.schema.names
             columns = [batch.column(names.index(c)).to_pylist() for c in ("page", "url", "payload", "digest", "bytes", "refers_to")]
             for row in zip(*columns):
                 one = record(*row)
+                n += 1
                 if compressor:
                     yield out([compressor.compress(one)])
-                    continue
-                sample.append(one)
-                size += len(one)
-                if size >= SAMPLE_BYTES:
-                    first, compressor = start(sample)
-                    yield out(([first] if first else []) + [compressor.compress(x) for x in sample])
-                    sample = []
-        if sample:
-            first, compressor = start(sample)
-            yield out(([first] if first else []) + [compressor.compress(x) for x in sample])
+                else:
+                    sample.append(one)
+                    size += len(one)
+                    if size >= SAMPLE_BYTES or n == ARCHIVE_RECORDS:
+                        compressor, first = started(sample)
+                        yield first
+                if n == ARCHIVE_RECORDS:  # the writer goes on to its next file
+                    sample, size, n, compressor = [], 0, 0, None
+        if n and not compressor:
+            yield started(sample)[1]
 
-    rows = decided.mapInArrow(frames, "frame binary")
-    rows.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", EMPTY_FRAME).text(path)
+    rows = decided.mapInArrow(frames, "frame binary").select(F.col("frame").cast("string").alias("value"))
+    rows.write.option("lineSep", EMPTY_FRAME).option("maxRecordsPerFile", ARCHIVE_RECORDS + 1).text(path)
 
 
 def frame_end(data: bytes, at: int) -> int:
@@ -160,7 +175,10 @@ def parsed(one: bytes) -> tuple:
 
 
 def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
-    """(page, url, record_type, payload, payload_digest, payload_bytes, refers_to) of all records under ``path``; ids as text."""
+    """(page, url, record_type, payload, payload_digest, payload_bytes, refers_to) of all records under ``path``; ids as text.
+
+    A task holds one archive of ``ARCHIVE_RECORDS`` records at a time. Damaged records are an error.
+    """
     shared.small_batches(spark)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -141,6 +141,25 @@ def test_an_archive_starts_with_its_dictionary(spark):
     assert sum(1 for f in files for _ in warc.records(bytes(f["content"]))) == 50
 
 
+@pytest.mark.parametrize("n", [1, 3, 30])
+def test_small_archives_have_their_dictionary_too(spark, n):
+    pages = spark.createDataFrame([(i, None, "short" if i % 2 else None) for i in range(n)], "page_id long, url string, html string")
+    path = f"{spark.conf.get('spark.sql.warehouse.dir')}/archives-{random.random()}"
+    warc.write(warc.decide(pages).coalesce(1), path)
+    content = [bytes(f["content"]) for f in spark.read.format("binaryFile").load(path).collect()]
+    assert len(content) == 1 and content[0].startswith(warc.DICTIONARY_MAGIC) and len(list(warc.records(content[0]))) == n
+
+
+def test_archives_end_at_their_number_of_records(spark, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_RECORDS", 7)
+    pages = spark.createDataFrame([(i, f"http://h/{i}", "x" * (i * 40)) for i in range(45)], "page_id long, url string, html string")
+    path = f"{spark.conf.get('spark.sql.warehouse.dir')}/archives-{random.random()}"
+    warc.write(warc.decide(pages).coalesce(1), path)
+    content = [bytes(f["content"]) for f in spark.read.format("binaryFile").load(path).collect()]
+    assert sorted(len(list(warc.records(c))) for c in content) == [3] + [7] * 6 and all(c.startswith(warc.DICTIONARY_MAGIC) for c in content)
+    assert sorted(int(r["page"]) for r in warc.read(spark, path).collect()) == list(range(45))
+
+
 def test_blocks_follow_links_and_allowing_has_precedence(spark):
     link = '<html><head><link href="{}" rel="canonical"></head>'
     pages = [
@@ -165,9 +184,12 @@ def test_embedding_links_in_small_tiles(spark, monkeypatch, grid):
     vectors = [(b + 0.08 * rng.standard_normal(16)).tolist() for b in base for _ in range(14)]
     rows = [(i, v, i % 2) for i, v in enumerate(vectors)] + [(900 + i, vectors[0], 0) for i in range(5)]
     rows += [(1000, None, 1), (1001, [0.0] * 16, 1), (1002, [float("nan")] * 16, 1), (1003, [None] * 16, 1), (1004, vectors[1], None), (1005, [], 1), (1006, vectors[1][:8], 1)]
+    lost = [(None, vectors[1], 1), (None, vectors[1], 1), (None, None, None)]
     monkeypatch.setattr(embedding_dedup, "TILE", 8)
-    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
-    found = {r["vec_id"]: r for r in embedding_dedup.link(frame, grid=grid).collect()}
+    frame = spark.createDataFrame(rows + lost, "vec_id long, embedding array<float>, label int")
+    out = embedding_dedup.link(frame, grid=grid).collect()
+    assert [tuple(r) for r in out if r["vec_id"] is None] == [(None, 0, None, True)] * 3
+    found = {r["vec_id"]: r for r in out if r["vec_id"] is not None}
     good = [(i, np.array(np.float32(v), float), label) for i, v, label in rows if i < 1000]
     links = {i: set() for i, _, _ in rows}
     for (i, a, x), (k, b, y) in itertools.combinations(good, 2):
@@ -333,6 +355,14 @@ def test_the_mix_comes_near_its_targets(spark):
     assert sum(target.values()) == pytest.approx(1.5 * sum(sizes.values()))
 
 
+def test_the_mix_prefers_longer_documents_of_a_source(spark):
+    rows = [(i, "s", 10 if i % 2 else 1_000) for i in range(4_000)] + [(10_000 + i, "t", 500) for i in range(4_000)]
+    found = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, size long"), weights=(1, 3), share=0.6).collect()
+    taken = lambda size: sum(r["copies"] for r in found if r["source"] == "s" and r["size"] == size)
+    odds = lambda n: n / (2_000 - n)
+    assert odds(taken(1_000)) / odds(taken(10)) == pytest.approx(math.sqrt(1_001 / 11), rel=0.35) and {r["copies"] for r in found} <= {0, 1}
+
+
 def test_odd_rows(spark, odd):
     n = odd.count()
     model = language_id.fit(odd, "doc_id", "text", "lang")
