@@ -24,13 +24,13 @@ PERCENT = 25
 SEED = "7"
 SCALE = 1_000
 #: Bytes of texts whose n-grams are interned at a time.
-RUN_BYTES = 1 << 18
+RUN_BYTES = 1 << 16
 
 
 class Table:
     """Open-addressed table of distinct n-grams: a slot holds hash, bytes, bucket and count."""
 
-    def __init__(self, buckets: int = BUCKETS, room: int = 1 << 12):
+    def __init__(self, buckets: int = BUCKETS, room: int = 1 << 16):
         self.buckets, self.n = buckets, 0
         self._make(room)
 
@@ -43,36 +43,38 @@ class Table:
         held = np.flatnonzero(self.used)
         old = [x[held] for x in (self.hashes, self.grams, self.bucket, self.count)]
         self._make(room)
-        slots = self._find(old[0], old[1])
+        slots, _ = self._find(old[0], old[1])
         self.bucket[slots], self.count[slots] = old[2], old[3]
 
-    def _find(self, hashes: np.ndarray, grams: np.ndarray) -> np.ndarray:
-        """The slot of each gram; free slots on the way are taken. All open grams probe at once."""
+    def _find(self, hashes: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The slot of each gram, and the slots that were free before. All open grams probe at once."""
         last = np.uint64(len(self.used) - 1)
         at = (hashes & last).astype(np.int64)
-        left = np.arange(len(grams))
+        left, fresh = np.arange(len(grams)), []
         while len(left):
-            free = left[~self.used[at[left]]]
-            slots, first = np.unique(at[free], return_index=True)  # of several at one slot the first takes it
-            self.used[slots], self.hashes[slots], self.grams[slots] = True, hashes[free[first]], grams[free[first]]
-            same = self.hashes[at[left]] == hashes[left]
+            spots = at[left]
+            free = left[~self.used[spots]]
+            if len(free):
+                slots, first = np.unique(at[free], return_index=True)  # of several at one slot the first takes it
+                self.used[slots], self.hashes[slots], self.grams[slots] = True, hashes[free[first]], grams[free[first]]
+                fresh.append(slots)
+            same = self.hashes[spots] == hashes[left]
             alike = left[same]
             same[same] = self.grams[at[alike]] == grams[alike]  # bytes, as hashes may be equal by chance
             left = left[~same]
             at[left] = (at[left] + 1) & int(last)
-        return at
+        return at, np.concatenate(fresh) if fresh else np.empty(0, np.int64)
 
     def intern(self, grams: list[bytes]) -> np.ndarray:
         """The slots of all occurrences, which are counted; slots hold until the next call."""
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, grams), np.uint64, len(grams))
+        hashes = np.frombuffer(b"".join(map(xxhash.xxh64_digest, grams)), ">u8").astype(np.uint64)
         if 2 * (self.n + len(grams)) > len(self.used):
             self._grow(1 << (2 * (self.n + len(grams))).bit_length())
         column = np.empty(len(grams), object)
         column[:] = grams
-        slots = self._find(hashes, column)
-        fresh = np.flatnonzero((np.bincount(slots, minlength=len(self.used)) > 0) & (self.count == 0))
+        slots, fresh = self._find(hashes, column)
         self.bucket[fresh] = [zlib.crc32(g) % self.buckets for g in self.grams[fresh]]
-        self.count += np.bincount(slots, minlength=len(self.used))
+        np.add.at(self.count, slots, 1)
         self.n += len(fresh)
         return slots
 
