@@ -39,7 +39,9 @@ def unescaped(text: Column) -> Column:
 
 def html_to_text(markup: Column) -> Column:
     """Text nodes joined without a separator; comments, scripts and styles are left out."""
-    return unescaped(F.regexp_replace(F.regexp_replace(markup, INVISIBLE_MARKUP, ""), TAG, ""))
+    stripped = F.regexp_replace(F.regexp_replace(markup, INVISIBLE_MARKUP, ""), TAG, "")
+    # ``unescaped`` uses its input several times; as the item of an array the markup is stripped once.
+    return F.element_at(F.transform(F.array(stripped), unescaped), 1)
 
 
 def ws_tokens(text: Column) -> Column:

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pairsmith.functions import labels, text
-from pairsmith.functions.keyed import keyed_index
+from pairsmith.functions.keyed import keyed_index, once
 
 JOIN_KEYS = ["product_locale", "product_id"]
 
@@ -55,9 +55,9 @@ def pretrain_pairs(
         *JOIN_KEYS,
         F.col("product_title").alias("title"),
         F.col("product_description").alias("_raw"),
-        to_text(F.col("product_description")).alias("positive"),
         text.lines(F.col("product_bullet_point")).alias("_lines"),
     )
+    described = once(described, "positive", to_text(F.col("_raw")))
     usable = described.where((F.col("positive") != F.col("_raw")) & (F.col("positive") != "")).drop("_raw")
     pick = keyed_index(F.size("_lines"), seed, F.col("query_id"), F.col("product_id"))
     return (

@@ -6,7 +6,7 @@ from pairsmith import schemas
 from pairsmith.functions import text
 from pairsmith.operators import groups, order, pairs, retrieval, vocabulary
 from pairsmith.plans import code, evaluation, product, tables
-from pairsmith.plans.registry import _COMPLETE, _COUNTED, _FINETUNE, _PAIRS, _WORDS, EXAMPLES, LIST, PRODUCTS, SQL, VECTORS, _code, _items, _passages, _query, _stored
+from pairsmith.plans.registry import _COMPLETE, _COUNTED, _FINETUNE, _PAIRS, _WORDS, CODE, EXAMPLES, LIST, PRODUCTS, SQL, VECTORS, _code, _items, _passages, _query, _stored
 from pairsmith.session import scratch
 from pairsmith.sources import files
 from pairsmith.streaming import streams
@@ -208,6 +208,18 @@ def scan_json_array(spark, sf_dir):
     return pairs.code_pairs(files.read_json_array(spark, path, schemas.CODE_LINES)).select("url", "docstring", "code_text")
 
 
+@_query(r"""select min(conv_id * 1000 + turn) as retrieval_idx, code, 0::int as n_docstring from (select *, array_to_string(list_filter(regexp_split_to_array(answer, '\s+'), lambda t: t <> ''), ' ') as code from code_pairs) group by code""", CODE)
+def scan_codebase_map(spark, sf_dir):
+    """Each code once with its index, written as objects of many entries and read in splits."""
+    rows = tables.code_rows(spark, sf_dir)
+    code_text = text.joined_tokens(text.ws_tokens(F.coalesce("code_text", "function_text")))
+    wanted = rows.select(code_text.alias("code"), (F.col("conv_id") * 1000 + F.col("turn")).alias("retrieval_idx")).groupBy("code").agg(F.min("retrieval_idx").alias("retrieval_idx"))
+    path = scratch(spark, "map")
+    files.write_codebase_map(wanted, path)
+    read = files.read_codebase_map(spark, path)
+    return read.select("retrieval_idx", text.joined_tokens(F.col("code_tokens")).alias("code"), F.size("docstring_tokens").alias("n_docstring"))
+
+
 _FIRST = "top as (select i, j, row_number() over (partition by i order by s desc, j) as rank from ps where step = 8000)"
 
 

@@ -1,5 +1,8 @@
 """Files read and written by the jobs."""
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 from pairsmith import schemas
@@ -18,15 +21,51 @@ def read_json_array(spark: SparkSession, path: str, schema: T.StructType, multi_
     return spark.read.schema(schema).option("mode", "FAILFAST").option("multiLine", multi_line).json(path)
 
 
-def read_codebase_map(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """``{code: index}`` objects, one per line or one per file, as rows of tokens, index and empty texts."""
-    objects = F.from_json("value", T.MapType(T.StringType(), T.IntegerType()), {"mode": "FAILFAST"})
-    entries = spark.read.text(path, wholetext=multi_line).select(F.explode(objects).alias("code", "retrieval_idx"))
-    return entries.select(
+def read_codebase_map(spark: SparkSession, path: str, separator: str = ", ") -> DataFrame:
+    """Files that hold one ``{code: index}`` object each, as rows of tokens, index and empty texts.
+
+    The object may be of any size: its entries, not lines, are the records that
+    Spark splits the file by. An entry ends where ``separator`` is followed by a
+    quote, which no text within quotes can hold unescaped. The one exception is
+    a code that itself ends in the separator; it is an error, as is anything
+    else that is not an entry. Of a repeated code every entry is a row.
+    """
+    entries = spark.read.text(path, lineSep=separator + '"')
+    # The last entry of a file has the closing brace, the first the opening brace and quote, unless it is a code of one brace.
+    ended = F.regexp_replace("value", r"\}\s*$", "")
+    begun = F.regexp_replace(ended, r'^\s*\{\s*"', "")
+    entry = r'(?s)^.*"\s*:\s*-?[0-9]+\s*$'
+    bare = F.when(begun.rlike(entry), begun).when(ended.rlike(entry), ended)
+    wrong = F.raise_error(F.concat(F.lit("not an entry of a codebase map: "), F.substring("value", 1, 80)))
+    whole = F.coalesce(F.concat(F.lit('{"'), bare, F.lit("}")), wrong)
+    objects = F.from_json("_object", T.MapType(T.StringType(), T.LongType()), {"mode": "FAILFAST"})
+    parsed = entries.where(~F.col("value").rlike(r"^\s*(\{\s*\})?\s*$")).select(whole.alias("_object"))
+    listed = parsed.select(F.explode(objects).alias("code", "retrieval_idx"))
+    return listed.select(
         ws_tokens(F.col("code")).alias("code_tokens"), "retrieval_idx", F.lit("").alias("doc"), F.array().cast("array<string>").alias("docstring_tokens")
     )
 
 
+def write_codebase_map(df: DataFrame, path: str) -> None:
+    """(code, retrieval_idx) rows as ``{code: index}`` objects, one for each partition of ``df``."""
+    quoted = F.to_json(F.array("code"))
+    entry = F.concat(F.expr("substring(_q, 2, length(_q) - 2)"), F.lit(": "), F.col("retrieval_idx").cast("string"))
+    entries = df.select("code", "retrieval_idx", quoted.alias("_q")).select(entry.alias("value"))
+
+    def objects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = "{"
+        for batch in batches:
+            if batch.num_rows:
+                text = before + ", ".join(batch.column(0).to_pylist())
+                before = ", "
+                yield pa.RecordBatch.from_arrays([pa.array([text])], names=["value"])
+        if before != "{":
+            yield pa.RecordBatch.from_arrays([pa.array(["}"])], names=["value"])
+
+    # Rows follow each other with a blank, so a partition's rows are one object, batch by batch.
+    entries.mapInArrow(objects, "value string").write.text(path, lineSep=" ")
+
+
 def read_run_file(spark: SparkSession, path: str) -> DataFrame:
     """Space-separated run lines: longer lines are skipped, shorter ones end in nulls."""
     fields = F.split("value", " ")

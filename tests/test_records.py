@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from conftest import SF
 from pairsmith.functions import arrays
@@ -127,10 +127,54 @@ def test_checkpoints_are_listed_without_other_folders(spark):
     assert sorted((r["id"], r["step"]) for r in read.collect()) == [(i, i % 3 * 1000) for i in range(6)]
 
 
+def test_a_map_is_read_in_splits(spark):
+    import json
+    import os
+
+    rng = random.Random(5)
+    codes = {" ".join(rng.choice(['a', '"', ', "b"', '": 3', "}", "{", "é", "\\", "\n", ","]) for _ in range(rng.choice([1, 5, 40]))): i for i in range(400)}
+    codes = {c: i for c, i in codes.items() if not c.endswith(", ")}
+    folder = scratch(spark, "maps").removeprefix("file:")
+    os.makedirs(folder)
+    for name, ascii_ in (("one.json", True), ("two.json", False)):
+        with open(f"{folder}/{name}", "w") as f:
+            json.dump(codes, f, ensure_ascii=ascii_)
+    with open(f"{folder}/none.json", "w") as f:
+        json.dump({}, f)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+        found = files.read_codebase_map(spark, folder)
+        assert found.rdd.getNumPartitions() > 8
+        assert sorted((r["retrieval_idx"], r["code_tokens"]) for r in found.collect()) == sorted((i, c.split()) for c, i in codes.items() for _ in range(2))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+@pytest.mark.parametrize("content", ['{"a, ": 1, "b": 2}', '{"a": "x"}', '["a"]', "nothing"])
+def test_what_is_no_map_is_an_error(spark, content):
+    import os
+
+    folder = scratch(spark, "maps").removeprefix("file:")
+    os.makedirs(folder)
+    with open(f"{folder}/map.json", "w") as f:
+        f.write(content)
+    with pytest.raises(Exception, match="not an entry"):
+        files.read_codebase_map(spark, folder).collect()
+
+
+def test_markup_is_stripped_once(spark):
+    plan = registry.QUERIES["pretrain_pairs"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("(?is)<!--") <= 1
+
+
 def test_counts_come_from_the_write_itself(spark):
     lines = code.code_lines(tables.code_rows(spark, SF))
-    seen = []
-    read = F.udf(lambda url: url, "string")
-    counted = files.write_json_lines(lines.withColumn("url", read("url")), scratch(spark, "lines"), pairs.variant_counts())
-    seen.append(counted["n_rows"])
-    assert counted["n_rows"] == lines.count() == counted["n_code_tokens"] + counted["n_function_tokens"] and Window
+    tried = spark.sparkContext.accumulator(0)
+
+    def passed(url):
+        tried.add(1)
+        return url
+
+    counted = files.write_json_lines(lines.withColumn("url", F.udf(passed, "string")("url")), scratch(spark, "lines"), pairs.variant_counts())
+    assert counted["n_rows"] == lines.count() == tried.value == counted["n_code_tokens"] + counted["n_function_tokens"]
