@@ -41,13 +41,11 @@ STEPS = 400
 #: States between two best-fit packings of what is open.
 REFIT = 50
 #: Words whose ids a worker remembers, and the longest of them.
-MEMORY = 500_000
+MEMORY = 800_000
 MEMORY_WORD = 64
 
 # A word with the one blank or line break before it, and with any longer white space after it.
 _PART = re.compile(r"\s*\S+(?:(?![ \n]\S)\s+\S*)*|\s+")
-# White space beside a blank or line break, or the mark of keys.
-_UNEVEN = re.compile(r"\s[ \n]|[ \n]\s|\0")
 
 
 class Encoder:
@@ -73,29 +71,35 @@ class Encoder:
     def _encoded(self, parts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
-    def _learned(self, keys: list[str]) -> dict[str, bytes]:
-        """Ids of new keys. The key of a word after a blank is the word, after a line break both; other parts have a mark before them."""
-        if len(self.known) > MEMORY:
-            self.known.clear()
+    def _learn(self, keys: set[str]) -> None:
+        """Remember ids. The key of a word after a blank is the word, after a line break both; other parts have a mark before them."""
         words = [k for k in keys if k[:1] not in ("\0", "")]
         marked = [k for k in keys if k[:1] in ("\0", "")]
-        found = {k: ids.tobytes() for k, ids in zip(marked, self._encoded([k[1:] if k else " " for k in marked]))}
+        self.known.update((k, ids.tobytes()) for k, ids in zip(marked, self._encoded([k[1:] if k else " " for k in marked])))
         if words:
             ids = self._encoded(["".join([k if k[0] == "\n" else " " + k for k in words])])[0]
             starts = (4 * np.flatnonzero(self.opens[ids])).tolist()
             whole = ids.tobytes()
-            found.update(zip(words, [whole[a:b] for a, b in zip(starts, [*starts[1:], len(whole)])], strict=True))
-        self.known.update((k, x) for k, x in found.items() if len(k) <= MEMORY_WORD)
-        return found
+            self.known.update(zip(words, [whole[a:b] for a, b in zip(starts, [*starts[1:], len(whole)])], strict=True))
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        split = [["\0" + p for p in _PART.findall(t)] if _UNEVEN.search(t) else ("\0" + t).replace("\n", " \n").split(" ") for t in texts]
-        found = [list(map(self.known.get, keys)) for keys in split]
-        gaps = [(keys, ids) for keys, ids in zip(split, found) if None in ids]
-        new = self._learned(list(dict.fromkeys([k for keys, ids in gaps for k, x in zip(keys, ids) if x is None])))
-        for keys, ids in gaps:
-            ids[:] = [new[k] if x is None else x for k, x in zip(keys, ids)]
-        return [b"".join(ids) for ids in found]
+        if len(self.known) > MEMORY:
+            self.known.clear()
+        split = [("\0" + t).replace("\n", " \n").split(" ") if _even(t) else ["\0" + p for p in _PART.findall(t)] for t in texts]
+        new = set().union(*split).difference(self.known)
+        self._learn(new)
+        found = [b"".join(map(self.known.__getitem__, keys)) for keys in split]
+        for key in new:
+            if len(key) > MEMORY_WORD:
+                del self.known[key]
+        return found
+
+
+def _even(text: str) -> bool:
+    """Whether all white space is single blanks and line breaks between words, and no word has the mark of keys."""
+    words = text.split()
+    between = len(words) - 1
+    return text.count(" ") + text.count("\n") == between == len(text) - len("".join(words)) and "\0" not in text
 
 
 def remembered(path: str) -> Encoder:
