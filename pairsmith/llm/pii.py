@@ -2,12 +2,16 @@
 
 Detected entities get keyed replacements of their own kind and format: letters
 for letters of the same case and script, digits for digits, card numbers with
-a valid check digit, addresses with valid parts, names of the title's
-gender. Equal entities get equal surrogates everywhere. A distributed check over
-the distinct entities of the corpus draws anew where two entities would share a
-surrogate or one would equal another real entity.
+a valid check digit, addresses with valid parts, names of the person's gender.
+Equal entities get equal surrogates everywhere, whatever their case or their
+separators; a name whose documents do not tell the gender takes that of other
+documents. A distributed check over the distinct entities of the corpus draws
+anew where two entities would share a surrogate or one would equal another real
+entity; later draws leave formats that have few values, so that no number of
+entities exhausts them.
 """
 
+import bisect
 import functools
 import hashlib
 import re
@@ -21,6 +25,8 @@ from pairsmith.llm import shared
 
 #: Draws for one entity before the job gives up.
 MOST_DRAWS = 200
+#: Draws after which a surrogate may leave a format of few values, such as a small range of addresses.
+WIDER = 4
 
 # Titles by gender, and given and family names by script.
 TITLES = {"f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Signora", "Госпожа"), "m": ("Mr", "Mister", "Herr", "Monsieur", "Señor", "Sr", "Signor", "Господин"), "n": ("Dr", "Prof", "Dra")}
@@ -32,6 +38,7 @@ GIVEN = {
 }
 _ONSETS, _CODAS = ("B", "Br", "C", "D", "F", "G", "H", "K", "L", "M", "N", "P", "R", "S", "T", "V", "W"), ("ander", "arin", "elman", "enberg", "eston", "iller", "indt", "olano", "onte", "urner")
 
+_LISTED = {name.lower(): g for (_, g), names in GIVEN.items() for name in names}
 _TITLE_GENDER = {t: g for g, all_ in TITLES.items() for t in all_}
 _NAME = r"[^\W\d_](?:[^\W\d_]|['’-](?=[^\W\d_]))*"
 #: By gate: (a test that is cheap and that every text with such an entity passes, the patterns).
@@ -75,7 +82,8 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
     gates = tuple(g for g, (passes, _) in enumerate(_GATES) if passes(text))
     if not gates:
         return out
-    names: dict[str, str] = {}
+    people: list[tuple[int, int, str, str]] = []  # start, end, family or the title's gender, word
+    numbers: dict[str, str] = {}
     for m in _pattern(gates).finditer(text):
         kind, span = next(k for k, x in m.groupdict().items() if x is not None and k in _KINDS), m.span()
         if kind == "email":
@@ -85,25 +93,48 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
             if any(c.isdigit() for c in value):
                 out.append((*m.span("value"), kind, value))
         elif kind == "person":
-            gender = _TITLE_GENDER[m.group("title")]
             own = [w for w in re.finditer(_NAME, m.group("name"))]
             held = own[: next((i for i, w in enumerate(own) if w.group()[0].islower()), len(own))]
             for i, w in enumerate(held):
-                part = "family" if i == len(held) - 1 else f"given-{gender}"
-                at = m.start("name") + w.start()
-                out.append((at, at + len(w.group()), part, w.group()))
-                names.setdefault(w.group(), part)
+                part = "family" if i == len(held) - 1 else _TITLE_GENDER[m.group("title")]
+                people.append((m.start("name") + w.start(), m.start("name") + w.end(), part, w.group().lower()))
         elif kind == "card" and not luhn(re.sub(r"\D", "", m.group())):
             continue  # any other number
         elif kind in ("card", "phone", "ssn", "iban"):
-            out.append((*span, kind, re.sub(r"[^0-9A-Z+]", "", m.group())))
+            entity = re.sub(r"[^0-9A-Z+]", "", m.group())
+            out.append((*span, kind, entity))
+            if kind != "iban":
+                numbers.setdefault(entity.lstrip("+"), entity)
+                numbers[entity] = kind
         else:
             out.append((*span, kind, m.group()))
-    if names:  # later or earlier mentions without the title
-        taken = [(a, b) for a, b, _, _ in out]
-        for m in re.finditer(r"(?<!\w)(?:" + "|".join(map(re.escape, sorted(names, key=len, reverse=True))) + r")(?!\w)", text):
-            if all(m.end() <= a or m.start() >= b for a, b in taken):
-                out.append((*m.span(), names[m.group()], m.group()))
+    # The gender of a given name is that of any of its titles, or of the lists; a neutral title says nothing.
+    gender: dict[str, str] = {}
+    for _, _, part, word in people:
+        if part in "fm":
+            gender.setdefault(word, part)
+    kind_of: dict[str, str] = {}
+    for start, end, part, word in people:
+        kind = part if part == "family" else f"given-{part if part in 'fm' else gender.get(word) or _LISTED.get(word, 'n')}"
+        out.append((start, end, kind, word))
+        kind_of.setdefault(word, kind)
+    taken = sorted((a, b) for a, b, _, _ in out)
+
+    def free(start: int, end: int) -> bool:
+        i = bisect.bisect_left(taken, (start, start))
+        return (i == len(taken) or taken[i][0] >= end) and (i == 0 or taken[i - 1][1] <= start)
+
+    if kind_of:  # mentions without the title, in any case
+        for m in re.finditer(r"(?<!\w)(?:" + "|".join(map(re.escape, sorted(kind_of, key=len, reverse=True))) + r")(?!\w)", text, re.IGNORECASE):
+            word = m.group().lower()
+            if word in kind_of and not m.group().islower() and free(*m.span()):
+                out.append((*m.span(), kind_of[word], word))
+    if numbers:  # the same numbers without their separators
+        bare = sorted((n for n in numbers if n.isdecimal()), key=len, reverse=True)
+        for m in re.finditer(r"(?<![\w+.-])(?:" + "|".join(bare) + r")(?!\w)", text) if bare else ():
+            entity = m.group() if numbers[m.group()] in _KINDS else numbers[m.group()]
+            if free(*m.span()):
+                out.append((*m.span(), numbers[entity], entity))
     return sorted(out)
 
 
@@ -159,12 +190,12 @@ def surrogate(key: bytes, kind: str, entity: str, draw: int = 0) -> str:
         local, _, domain = entity.partition("@")
         *labels, top = domain.split(".")
         host = Draws(key, "domain", domain, 0)
-        return f"{d.shaped(local)}@{'.'.join(host.shaped(x) for x in labels)}.{top}"
+        return f"{d.shaped(local + 'x' * (draw // WIDER))}@{'.'.join(host.shaped(x) for x in labels)}.{top}"
     if kind == "awskey":
         return entity[:4] + "".join("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"[d.below(32)] for _ in entity[4:])
     if kind == "ip":
         private = re.match(r"(10\.|192\.168\.|127\.)", entity)
-        head = private.group() if private else ""
+        head = (private.group(), "10.")[draw >= WIDER] if private and draw < 4 * WIDER else ""
         n = 4 - head.count(".")
         first = "" if head else str((*range(11, 127), *range(128, 172), *range(173, 192), *range(193, 224))[d.below(116 + 44 + 19 + 31)]) + "."
         return head + first + ".".join(str(d.below(256)) for _ in range(n - bool(first)))
@@ -188,27 +219,29 @@ def surrogate(key: bytes, kind: str, entity: str, draw: int = 0) -> str:
             elif kind != "family" and script in ("LATIN", "CYRILLIC"):
                 parts.append(GIVEN[script, gender][d.below(len(GIVEN[script, gender]))])
             else:
-                parts.append(d.shaped(entity))
-        name = "-".join(parts)
-        return name.upper() if entity.isupper() and len(entity) > 1 else name
+                parts.append(d.shaped(entity).title())
+        return "-".join(parts)
     return d.shaped(entity)
 
 
 def _rendered(found: str, entity: str, new: str, kind: str) -> str:
-    """The surrogate with the separators that the text has."""
+    """The surrogate with the separators, or the case of a name, that the text has."""
+    if kind == "family" or kind.startswith("given"):
+        return new.upper() if found.isupper() and len(found) > 1 else new
     if kind not in ("card", "phone", "ssn", "iban"):
         return new
     rest = iter(new)
     return "".join(next(rest) if c.isdecimal() or "A" <= c <= "Z" or c == "+" else c for c in found)
 
 
-def replaced(text: str, key: bytes, draws: dict[tuple[str, str], int]) -> tuple[str, list[str]]:
-    """The text with surrogates and the kinds of its entities in order; ``draws`` has the entities that need another draw than the first."""
+def replaced(text: str, key: bytes, draws: dict[tuple[str, str], tuple[str, int]]) -> tuple[str, list[str]]:
+    """The text with surrogates and the kinds of its entities in order; ``draws`` has the entities that are drawn as another kind, or not by the first draw."""
     out, at, kinds = [], 0, []
     for start, end, kind, entity in find(text):
         if start < at:
             continue
-        out += [text[at:start], _rendered(text[start:end], entity, surrogate(key, kind, entity, draws.get((kind, entity), 0)), kind)]
+        drawn_as, draw = draws.get((kind, entity), (kind, 0))
+        out += [text[at:start], _rendered(text[start:end], entity, surrogate(key, drawn_as, entity, draw), kind)]
         at = end
         kinds.append(kind)
     return "".join(out) + text[at:], kinds
@@ -229,29 +262,39 @@ def _entities(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
 
 
 def _checked(entities: DataFrame, key: bytes) -> DataFrame:
-    """(kind, entity, draw) of the entities whose first surrogate does not stand, from the distinct entities.
+    """(kind, entity, drawn_as, draw) of the entities that are drawn as another kind, or whose first surrogate does not stand.
 
-    Surrogates are compared within a kind. One that equals a real entity, or
-    that another entity has with an earlier draw or an earlier name, is drawn
-    anew until none is left.
+    A given name without a gender is drawn like the same name with one, if any
+    document tells it. Surrogates are compared within a kind, given names of all
+    genders together. One that equals a real entity, or that another entity has
+    with an earlier draw or an earlier name, is drawn anew until none is left.
     """
+    told = entities.where(F.col("kind").isin("given-f", "given-m")).groupBy("entity").agg(F.min("kind").alias("drawn_as"))
+    same = entities.where("kind = 'given-n'").join(told, "entity").select("kind", "entity", "drawn_as")
+    same = shared.written(same, "told-genders")
+    entities = shared.written(entities.join(same, ["kind", "entity"], "left_anti"), "drawn-entities")
 
     def drawn(rows: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 found = [surrogate(key, *row) for row in zip(*(c.to_pylist() for c in batch.columns))]
+                found = [x.lower() if kind == "family" or kind.startswith("given") else x for x, kind in zip(found, batch.column(0).to_pylist())]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=["kind", "entity", "draw", "surrogate"])
 
         return rows.mapInArrow(run, "kind string, entity string, draw int, surrogate string")
 
-    real = entities.select("kind", F.col("entity").alias("surrogate"), F.lit(True).alias("real"))
+    group = F.when(F.col("kind").startswith("given"), "given").otherwise(F.col("kind")).alias("group")
+    real = entities.select(group, F.col("entity").alias("surrogate"), F.lit(True).alias("real")).distinct()
     state = shared.written(drawn(entities.withColumn("draw", F.lit(0))), "surrogates")
     for _ in range(MOST_DRAWS):
-        order = F.row_number().over(Window.partitionBy("kind", "surrogate").orderBy("draw", "entity"))
-        judged = state.withColumn("order", order).join(real, ["kind", "surrogate"], "left")
+        order = F.row_number().over(Window.partitionBy("group", "surrogate").orderBy("draw", "entity", "kind"))
+        judged = state.withColumn("group", group).withColumn("order", order).join(real, ["group", "surrogate"], "left")
         lost = shared.written(judged.where("order > 1 or real").select("kind", "entity", (F.col("draw") + 1).cast("int").alias("draw")), "redrawn")
         if lost.isEmpty():
-            return state.where("draw > 0").select("kind", "entity", "draw")
+            drawn_anew = state.where("draw > 0").select("kind", "entity", F.col("kind").alias("drawn_as"), "draw")
+            by_target = drawn_anew.select(F.col("kind").alias("drawn_as"), "entity", "draw")
+            aliases = same.join(by_target, ["drawn_as", "entity"], "left").select("kind", "entity", "drawn_as", F.coalesce("draw", F.lit(0)).alias("draw"))
+            return drawn_anew.union(aliases)
         state = shared.written(state.join(lost, ["kind", "entity"], "left_anti").unionByName(drawn(lost)), "surrogates")
     raise ValueError(f"no distinct surrogates after {MOST_DRAWS} draws; too many entities for their format")
 
@@ -267,7 +310,7 @@ def pseudonymize(docs: DataFrame, key: bytes, id_column: str = "doc_id", text_co
     shared.small_batches(docs.sparkSession)
     found = shared.written(_entities(docs, id_column, text_column), "entities")
     redrawn = _checked(found.select("kind", "entity").distinct(), key)
-    by_row = found.join(redrawn, ["kind", "entity"]).groupBy(F.col("id").alias("redrawn_id"), F.col("text_hash").alias("redrawn_hash")).agg(F.collect_set(F.struct("kind", "entity", "draw")).alias("redrawn_draws"))
+    by_row = found.join(redrawn, ["kind", "entity"]).groupBy(F.col("id").alias("redrawn_id"), F.col("text_hash").alias("redrawn_hash")).agg(F.collect_set(F.struct("kind", "entity", "drawn_as", "draw")).alias("redrawn_draws"))
     by_row = shared.written(by_row, "redrawn-by-document")
     base = docs.drop("n_entities", "entity_kinds", "redrawn_draws", "redrawn_id", "redrawn_hash")
     same_row = base[id_column].eqNullSafe(F.col("redrawn_id")) & (F.xxhash64(base[text_column]) == F.col("redrawn_hash"))
@@ -279,7 +322,7 @@ def pseudonymize(docs: DataFrame, key: bytes, id_column: str = "doc_id", text_co
             draws = batch.column(batch.schema.get_field_index("redrawn_draws")).to_pylist()
             new, kinds = [], []
             for text, known in zip(texts, draws):
-                text, own = replaced(text, key, {(d["kind"], d["entity"]): d["draw"] for d in known or ()}) if text else (text, [])
+                text, own = replaced(text, key, {(d["kind"], d["entity"]): (d["drawn_as"], d["draw"]) for d in known or ()}) if text else (text, [])
                 new.append(text)
                 kinds.append(own)
             return [new, [len(k) for k in kinds], kinds]
@@ -288,6 +331,8 @@ def pseudonymize(docs: DataFrame, key: bytes, id_column: str = "doc_id", text_co
 
     # appended() replaces the text by name; the old text has another name meanwhile.
     old = "__text_before"
+    while old in base.columns:
+        old += "_"
     named = joined.withColumnRenamed(text_column, old)
 
     def made():
