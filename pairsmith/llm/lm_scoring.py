@@ -28,6 +28,8 @@ MU = 4.0
 BLOCK_TOKENS = 2_000_000
 #: N-grams of a bucket, on average, before blocks are merged.
 BUCKET_GRAMS = 4_000_000
+#: Tokens of a stretch of a block; stretches are traversed side by side.
+STRETCH = 512
 
 END, START = 0, 1
 _END, _START = (xxhash.xxh3_64_intdigest(x) for x in (b"\n", b"\r"))  # no word holds these
@@ -150,52 +152,99 @@ def _counted(group: pa.Table) -> pa.Table:
 
 
 class Automaton:
-    """The states and arcs of one block, as arrays by n-gram length.
+    """The part of the backoff automaton that one block can reach.
 
-    ``arc[k]`` has the weight of reading the last word of each k-gram from the
-    state before it (nan: no such arc), ``fail[k]`` the weight of leaving the
-    state of each k-gram by its failure arc (nan: no such state).
+    State 0 is the root; every other state is a seen sequence of fewer than
+    ``order`` words. An arc (state, word) has a weight and a target, the longest
+    state that the sequence read so far ends with; the root reads every word.
+    A state without an arc for a word is left by its failure arc, which has a
+    weight too, to the state without its first word.
     """
 
     def __init__(self, block: Block, counts: list[np.ndarray], n: int, v: int, mu: float):
-        self.block, self.number, self.arc, self.fail = block, [], [], []
-        p = None
+        self.block = block
+        number, state_of, n_states = [], [], 1
+        fail_to, fail_weight = [np.zeros(1, np.int32)], [np.zeros(1)]
+        arcs: list[tuple[np.ndarray, ...]] = []
+        self.n_words = int(block.stream.max()) + 1
         for k in range(1, block.order + 1):
-            keys, first, places, number = block.grams(k)
+            keys, first, places, at_place = block.grams(k)
             at = np.full(len(block.stream), -1, np.int32)
-            at[places] = number
+            at[places] = at_place
+            number.append(at)
             c = counts[k - 1].astype(np.float64)
+            # What a gram's last words are as a state, without its first word; for one word that is the root.
+            shorter = state_of[-1][number[-2][first]] if k > 1 else np.zeros(len(c), np.int32)
+            seen, word = c > 0, block.stream[first]
             if k == 1:
                 p = (c + 1) / (n + v + 1)
-                seen = np.ones(len(c), bool)  # the root reads every word
             else:
-                context = counts[k - 2][self.number[-1][first - 1]]
-                p = (c + mu * p[self.number[-1][first]]) / (context + mu)
-                seen = c > 0
-            self.arc.append(np.where(seen, np.log10(p), np.nan))
-            self.fail.append(np.where(c > 0, np.log10(mu / (c + mu)), np.nan))
-            self.number.append(at)
+                context = number[-2][first - 1]
+                p = (c + mu * p[number[-2][first]]) / (counts[k - 2][context] + mu)
+            if k < block.order:
+                own = np.where(seen, n_states - 1 + np.cumsum(seen), shorter).astype(np.int32)
+                n_states += int(seen.sum())
+                fail_to.append(shorter[seen])
+                fail_weight.append(np.log10(mu / (c[seen] + mu)))
+                state_of.append(own)
+            target = own if k < block.order else shorter
+            if k == 1:
+                self.root_weight, self.root_to = np.zeros(self.n_words), np.zeros(self.n_words, np.int32)
+                self.root_weight[word], self.root_to[word] = np.log10(p), target
+            else:
+                source = state_of[k - 2][context]
+                arcs.append((source[seen].astype(np.int64) * self.n_words + word[seen], np.log10(p[seen]), target[seen]))
+        self.fail_to, self.fail_weight = np.concatenate(fail_to), np.concatenate(fail_weight)
+        keys, weights, targets = (np.concatenate(x) for x in zip(*arcs)) if arcs else (np.empty(0, np.int64), np.empty(0), np.empty(0, np.int32))
+        order = np.argsort(keys)
+        self.arcs, self.arc_weight, self.arc_to = keys[order], weights[order], targets[order]
+        starts = np.flatnonzero(block.last_start)
+        self.start = int(state_of[-1][number[block.order - 2][starts[0]]]) if len(starts) else 0
+        self.unigram = number[0]
         block.keys.clear()
 
+    def read(self, states: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The weights of reading a word from each state, failure arcs included, and the states reached."""
+        weight, to, at = np.zeros(len(states)), np.zeros(len(states), np.int32), states.copy()
+        open_ = np.arange(len(states))
+        while len(open_):
+            inner = at[open_] > 0
+            done = open_[~inner]
+            weight[done] += self.root_weight[words[done]]
+            to[done] = self.root_to[words[done]]
+            open_ = open_[inner]
+            wanted = at[open_].astype(np.int64) * self.n_words + words[open_]
+            arc = np.searchsorted(self.arcs, wanted)
+            arc[arc == len(self.arcs)] = 0
+            read = self.arcs[arc] == wanted if len(self.arcs) else np.zeros(len(open_), bool)
+            done, arc = open_[read], arc[read]
+            weight[done] += self.arc_weight[arc]
+            to[done] = self.arc_to[arc]
+            open_ = open_[~read]
+            weight[open_] += self.fail_weight[at[open_]]
+            at[open_] = self.fail_to[at[open_]]
+        return weight, to
+
     def traverse(self) -> np.ndarray:
-        """The weight of each said token, from one left-to-right pass.
+        """The weight of each said token, from one left-to-right pass that carries a state.
 
-        The state before a token is the longest sequence of at most
-        ``order - 1`` words just read that is a state; from there failure arcs
-        are followed until some state reads the token. All texts of the block
-        are passed at once, as that state depends on the last words only.
+        The block's texts, one after the other, are cut into stretches that are
+        passed side by side. A stretch is entered ``order - 1`` tokens early: the
+        state after these is the same from wherever they are read.
         """
-        places = np.flatnonzero(self.block.said)
-        weight, open_ = np.zeros(len(places)), np.arange(len(places))
-        for k in range(self.block.order, 1, -1):
-            state = self.fail[k - 2][self.number[k - 2][places[open_] - 1]]
-            is_state = ~np.isnan(state)
-            arc = self.arc[k - 1][self.number[k - 1][places[open_]]]
-            read = is_state & ~np.isnan(arc)
-            weight[open_] += np.where(read, arc, np.where(is_state, state, 0.0))
-            open_ = open_[~read]
-        weight[open_] += self.arc[0][self.number[0][places[open_]]]
-        return weight
+        block, length = self.block, len(self.block.stream)
+        begin = np.arange(0, length, STRETCH)
+        states, weight = np.zeros(len(begin), np.int32), np.zeros(length)
+        for step in range(1 - block.order, STRETCH):
+            place = begin + step
+            there = np.flatnonzero((place >= 0) & (place < length))
+            at = place[there]
+            states[there[block.last_start[at]]] = self.start
+            there, at = there[block.said[at]], at[block.said[at]]
+            got, states[there] = self.read(states[there], block.stream[at])
+            if step >= 0:
+                weight[at] = got
+        return weight[block.said]
 
 
 def score(docs: DataFrame, train: Column, id_column: str = "doc_id", text_column: str = "text", order: int = ORDER, mu: float = MU) -> DataFrame:
@@ -215,6 +264,7 @@ def score(docs: DataFrame, train: Column, id_column: str = "doc_id", text_column
     tokens = blocks.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
     buckets = max(1, -(-tokens * order // BUCKET_GRAMS))
     sent = blocks.mapInArrow(lambda b: _sent(b, order, buckets), "gram int, bucket int, block string, keys binary, counts binary")
+    sent = sent.repartition(order * buckets, "gram", "bucket")  # a bucket a task, however many there are
     counted = shared.written(sent.groupBy("gram", "bucket").applyInArrow(_counted, "gram int, bucket int, block string, counts binary, total long, kinds long"), "lm-counts")
     n, v = counted.where("block is null and gram = 1").agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
 
@@ -230,7 +280,7 @@ def score(docs: DataFrame, train: Column, id_column: str = "doc_id", text_column
                 counts = [np.concatenate(p) for p in parts]
                 automaton = Automaton(block, counts, n, v, mu)
                 weights = automaton.traverse()
-                known = counts[0][automaton.number[0][block.said]]
+                known = counts[0][automaton.unigram[block.said]]
                 base = np.log10((known + 1) / (n + v + 1))
                 starts = np.cumsum(block.lengths) - block.lengths
                 sums = [block.lengths, np.add.reduceat((known > 0).astype(np.int64), starts), np.full(len(starts), n), np.add.reduceat(base, starts), np.add.reduceat(weights, starts)]

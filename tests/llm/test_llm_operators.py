@@ -76,9 +76,10 @@ def test_a_bundle_is_the_sum_of_bound_ngrams():
     assert np.array_equal(space.bundles([text, "12"])[0], slow) and not space.bundles(["12"]).any()
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
-def test_scores_equal_a_walk_through_the_automaton(spark, documents, order):
+@pytest.mark.parametrize("order, stretch", [(1, 512), (2, 7), (3, 512), (3, 1), (4, 2)])
+def test_scores_equal_a_walk_through_the_automaton(spark, documents, monkeypatch, order, stretch):
     """A literal automaton: states are word tuples, failure arcs drop the oldest word."""
+    monkeypatch.setattr(lm_scoring, "STRETCH", stretch)
     mu, train = lm_scoring.MU, [zlib.crc32(str(d["doc_id"]).encode()) % 7 != 2 for d in documents]
     said = [[*d["text"].encode().lower().split(), b"\n"] for d in documents]
     counts = Counter()
