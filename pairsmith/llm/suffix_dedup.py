@@ -11,6 +11,8 @@ at their windows are sorted, the common prefixes of neighbours (up to LENGTH)
 are taken, and previous and next smaller positions give the earlier matches.
 """
 
+import itertools
+import os
 import uuid
 from collections.abc import Iterator
 
@@ -86,28 +88,87 @@ def previous_factors(order: np.ndarray, common: np.ndarray) -> np.ndarray:
         position = order[::side]
         least = (common if side == 1 else np.concatenate([[0], common[:0:-1]])).copy()
         before = np.arange(n) - 1
-        while True:
-            larger = (before >= 0) & (least > 0)
-            larger &= position[np.maximum(before, 0)] > position
-            if not larger.any():
-                break
-            at = before[larger]
-            least[larger] = np.minimum(least[larger], least[at])
-            before[larger] = before[at]
+        open_ = np.arange(n)
+        while len(open_):
+            at = before[open_]
+            larger = (at >= 0) & (least[open_] > 0)
+            larger[larger] = position[at[larger]] > position[open_[larger]]
+            open_, at = open_[larger], at[larger]
+            nearer, link = np.minimum(least[open_], least[at]), before[at]
+            least[open_], before[open_] = nearer, link
         best = np.maximum(best, np.where(before >= 0, least, 0)[::side])
     return best
 
 
-def repeated_windows(prints: np.ndarray, length: int) -> np.ndarray:
-    """Which suffixes have an earlier one that is equal for ``length`` bytes; the suffixes come in order of position.
+def _plain_order(data: bytes, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """``suffix_order`` by Python's own comparison, for short windows and for fingerprints that deceive."""
+    own = [data[s : s + length] for s in starts.tolist()]
+    order = sorted(range(len(own)), key=lambda i: (own[i], i))
+    common = [0, *(len(os.path.commonprefix([own[i], own[k]])) for i, k in itertools.pairwise(order))]
+    return np.array(order, np.int64), np.array(common[: len(own)], np.int32)
 
-    Sorted by the fingerprint of their first ``length`` bytes, then by position,
-    suffixes that are equal so far are neighbours. Their common prefix counts as
-    ``length``, that of other neighbours as 0: shorter matches are of no use.
+
+def suffix_order(data: bytes, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes at ``starts`` in the order of their first ``length`` bytes, then as given, and what neighbours share of these.
+
+    Equal ones are brought together by fingerprint, and their bytes are compared.
+    One of each is then sorted by its first eight bytes, those that tie by the
+    next eight, and so on.
     """
-    order = np.argsort(prints, kind="stable")
-    common = np.zeros(len(order), np.int32)
-    common[1:] = np.where(prints[order[1:]] == prints[order[:-1]], length, 0)
+    if length < 8 or not len(starts):
+        return _plain_order(data, starts, length)
+    words = np.ndarray((len(data) - 7,), ">u8", data, strides=(1,))
+    steps = [*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]
+    prints = byte_windows(data, length)[starts]
+    together = np.argsort(prints, kind="stable")
+    new = np.concatenate([[True], prints[together[1:]] != prints[together[:-1]]])
+    one = starts[together]
+    again = np.flatnonzero(~new)
+    if any((words[one[again] + at] != words[one[again - 1] + at]).any() for at in steps):
+        return _plain_order(data, starts, length)
+    first = np.flatnonzero(new)
+    distinct = one[first]
+
+    word = words[distinct].astype(np.uint64)
+    ranked = np.argsort(word, kind="stable")
+    word = word[ranked]
+    opens = np.concatenate([[True], word[1:] != word[:-1]])  # where a run of ties begins
+    for at in steps[1:]:
+        alone = opens & np.concatenate([opens[1:], [True]])
+        tied = np.flatnonzero(~alone)
+        if not len(tied):
+            break
+        run = np.cumsum(opens)[tied]
+        word = words[distinct[ranked[tied]] + at].astype(np.uint64)
+        order = np.lexsort((word, run))
+        ranked[tied], word = ranked[tied[order]], word[order]
+        opens[tied[1:]] |= (word[1:] != word[:-1]) & (run[1:] == run[:-1])
+
+    shared_ = np.zeros(len(ranked), np.int32)
+    left, right, open_ = distinct[ranked[:-1]], distinct[ranked[1:]], np.arange(1, len(ranked))
+    for at in steps:
+        differ = words[left[open_ - 1] + at].astype(np.uint64) ^ words[right[open_ - 1] + at].astype(np.uint64)
+        ends = differ != 0
+        equal = sum(((differ[ends] >> np.uint64(8 * k)) == 0).astype(np.int32) for k in range(1, 8))
+        shared_[open_[ends]] = at + equal
+        open_ = open_[~ends]
+
+    # The groups of equal suffixes in the order of their ranks, each in the given order.
+    sizes = np.diff(np.concatenate([first, [len(starts)]]))
+    begin = np.empty(len(first), np.int64)
+    begin[ranked] = np.cumsum(sizes[ranked]) - sizes[ranked]
+    group = np.cumsum(new) - 1
+    place = begin[group] + np.arange(len(starts)) - first[group]
+    order = np.empty(len(starts), np.int64)
+    order[place] = together
+    common = np.full(len(starts), length, np.int32)
+    common[begin[ranked]] = shared_
+    return order, common
+
+
+def repeated_windows(data: bytes, starts: np.ndarray, length: int) -> np.ndarray:
+    """Which suffixes have an earlier one that is equal for ``length`` bytes; the suffixes come in order of position."""
+    order, common = suffix_order(data, starts, length)
     out = np.zeros(len(order), bool)
     out[order] = previous_factors(order, common) >= length
     return out
@@ -192,8 +253,7 @@ def windows_of(rows: list[tuple], length: int):
     begin = np.cumsum(sizes) - sizes
     row = np.repeat(np.arange(len(rows)), windows)
     offset = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-    prints = byte_windows(b"".join(r[3] for r in rows), length)[begin[row] + offset]
-    return row, offset, repeated_windows(prints, length)
+    return row, offset, repeated_windows(b"".join(r[3] for r in rows), begin[row] + offset, length)
 
 
 def _runs(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -274,7 +334,7 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     numbers and unique but for repeated rows, which are copies of each other and
     count as one document; a null text is empty; a row with a null id keeps its
     text and repeats nothing. Later copies of a whole text go whole if they have
-    ``length`` bytes. Bytes are compared by 64-bit fingerprints.
+    ``length`` bytes, by SHA-256; other bytes are compared.
     """
     gram = min(GRAM, length)
     spark = docs.sparkSession

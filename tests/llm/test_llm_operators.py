@@ -270,6 +270,22 @@ def test_repeats_equal_brute_force(spark, documents, case):
         assert (found[i]["n_bytes"], found[i]["n_removed"], found[i]["n_spans"], bytes(found[i]["kept"])) == (len(data[i]), int(gone.sum()), spans, kept), i
 
 
+@pytest.mark.parametrize("length", [3, 8, 20, 100])
+@pytest.mark.parametrize("deceived", [False, True])
+def test_suffixes_are_sorted_by_their_bytes(monkeypatch, length, deceived):
+    rng = random.Random(length)
+    text = b"".join(rng.choice([b"ab" * 30, b"a" * 70, b"xyz", bytes([0, 255]), b"abc" * 25, bytes(rng.randrange(256) for _ in range(40))]) for _ in range(60))
+    if deceived:
+        monkeypatch.setattr(suffix_dedup, "byte_windows", lambda data, n: np.zeros(len(data) - n + 1, np.uint64))
+    starts = np.arange(len(text) - length + 1)
+    order, common = suffix_dedup.suffix_order(text, starts, length)
+    own = [text[i : i + length] for i in starts]
+    assert order.tolist() == sorted(starts.tolist(), key=lambda i: (own[i], i))
+    assert common.tolist() == [0] + [len(os.path.commonprefix([own[a], own[b]])) for a, b in zip(order, order[1:])]
+    seen = set()
+    assert suffix_dedup.repeated_windows(text, starts, length).tolist() == [w in seen or seen.add(w) is not None for w in own]
+
+
 def test_previous_factors_equal_brute_force():
     rng = random.Random(4)
     text = "".join(rng.choice("ab") for _ in range(200))
