@@ -139,15 +139,6 @@ def _retracted(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) ->
     yield pd.DataFrame(dict(zip(_ARROW.names, _counts(changes))))
 
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The changes of a task's texts, added up."""
-    changes: Counter = Counter()
-    for batch in batches:
-        for *row, n in zip(*(c.to_pylist() for c in batch.columns)):
-            changes[tuple(row)] += n
-    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(_counts(changes), _ARROW)], schema=_ARROW)
-
-
 def _name(path: str) -> str:
     return path.rstrip("/").rpartition("/")[2]
 
@@ -182,8 +173,7 @@ def count(spark: SparkSession, path: str, labels: DataFrame, id_column: str = "d
         flag = lambda name: F.coalesce(name, F.lit(False)).alias(name)
         rows = rows.join(known, "id", "left").select("id", "part", "mask", flag("good"), flag("toxic"), "digest")
         keyed = rows.mapInArrow(_gathered(buckets), f"bucket long, digest binary, id long, {_COUNTED}")
-        moved = keyed.groupBy("bucket").applyInPandasWithState(_retracted, _COUNTED, "texts binary", "append", GroupStateTimeout.NoTimeout)
-        return moved.mapInArrow(_summed, _COUNTED)
+        return keyed.groupBy("bucket").applyInPandasWithState(_retracted, _COUNTED, "texts binary", "append", GroupStateTimeout.NoTimeout)
 
     out = scratch(spark, "audit")
     found = streams.run_available(stream, changes, f"{out}/changes", f"{out}/checkpoint")
