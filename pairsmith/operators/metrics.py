@@ -3,7 +3,6 @@
 from pyspark.sql import DataFrame, Window, functions as F
 
 from pairsmith.functions import labels
-from pairsmith.operators.order import last_wins
 
 
 def first_hits(run: DataFrame, hit, cut: int) -> DataFrame:
@@ -63,12 +62,6 @@ def mean_ndcg(per_query: DataFrame) -> DataFrame:
     return per_query.agg(F.count(F.lit(1)).alias("n_queries"), F.avg("ndcg").alias("ndcg"))
 
 
-def judged_binary(candidates: DataFrame, order: str) -> DataFrame:
-    """Weight 1 for gain 1, else 0; of repeated (query, document) pairs the last counts."""
-    last = last_wins(candidates.select("query_id", "doc_id", "gain", order), ["query_id", "doc_id"], order)
-    return last.select("query_id", "doc_id", labels.is_relevant(F.col("gain")).cast("double").alias("weight"))
-
-
 def judged_graded(qrels: DataFrame) -> DataFrame:
     return qrels.select(
         "query_id", "doc_id", labels.looked_up(F.col("relevance"), labels.LEVEL_WEIGHT).alias("weight")

@@ -9,6 +9,7 @@ are rows picked by hash, so they are the same whenever a stage runs again. They
 only place the cuts: every row is kept and numbered.
 """
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -37,10 +38,13 @@ def _bucketed(df: DataFrame, keys: list[str], order: list[Column], max_rows: int
     """``df`` with ``_order`` and ``_bucket``, and whether bucket tables are small; None if no group is large."""
     df = df.withColumn("_order", F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]))
     large = large_groups(df, keys, max_rows)
-    n_large = large.count()
+    n_large, most = large.agg(F.count(F.lit(1)), F.max("_rows")).first()
     if n_large == 0:
         return None
-    small = n_large <= BROADCAST_GROUPS
+    # Buckets of about max_rows in the largest group, whatever its size is; each row is placed in two short scans.
+    splits = max(splits, -(-most // max_rows))
+    fan_out = max(FAN_OUT, math.isqrt(splits))
+    small = n_large <= BROADCAST_GROUPS and splits <= SPLITS
     sizes = large
     large = large.select(*keys)
     spread = Window.partitionBy(*keys).orderBy(F.xxhash64("_order"), "_order")
@@ -50,14 +54,14 @@ def _bucketed(df: DataFrame, keys: list[str], order: list[Column], max_rows: int
         .where(F.col("_pick") <= splits)
         .groupBy(*keys)
         .agg(F.array_sort(F.collect_set("_order")).alias("_cuts"))
-        .withColumn("_heads", F.filter("_cuts", lambda c, i: i % FAN_OUT == FAN_OUT - 1))
+        .withColumn("_heads", F.filter("_cuts", lambda c, i: i % fan_out == fan_out - 1))
     )
     cuts = attach(cuts, sizes, keys, "inner", small)
     marked = attach(df, cuts, keys, small=small)
     # Two short scans in place of one long one: the block of cuts, then the cut in it.
-    block = F.size(F.filter("_heads", lambda c: c < F.col("_order"))) * FAN_OUT
+    block = F.size(F.filter("_heads", lambda c: c < F.col("_order"))) * fan_out
     marked = marked.withColumn("_block", F.coalesce(block, F.lit(0)))
-    inside = F.size(F.filter(F.slice("_cuts", F.col("_block") + 1, F.lit(FAN_OUT)), lambda c: c < F.col("_order")))
+    inside = F.size(F.filter(F.slice("_cuts", F.col("_block") + 1, F.lit(fan_out)), lambda c: c < F.col("_order")))
     bucket = F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(1 + F.col("_block") + inside)
     return marked.withColumn("_bucket", bucket).drop("_cuts", "_heads", "_block"), small
 

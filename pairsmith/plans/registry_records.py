@@ -233,3 +233,48 @@ def mrr_run_at_100(spark, sf_dir):
     path = scratch(spark, "run")
     files.write_spaced(evaluation.run_lines(retrieval.top_k(queries, documents, 100)), path)
     return evaluation.run_file_mrr(spark, path, 100).withColumn("mrr", F.round("mrr", 6))
+
+
+@_query("select query_id, row_number() over (partition by query_id order by side desc, place) - 1 as place, product_id, gain from placed", EXAMPLES, _COMPLETE)
+def candidate_list(spark, sf_dir):
+    """Positives, then negatives, of every complete group, as the list that a dev query is scored against."""
+    listed = groups.candidates(groups.query_groups(_items(spark, sf_dir)))
+    return listed.select("query_id", F.col("place").cast("long").alias("place"), "product_id", "gain")
+
+
+@_query("select vec_id as id, len(embedding)::int as width, round(list_sum(embedding::double[]), 6) as total from embeddings")
+def scan_embeddings(spark, sf_dir):
+    """Vector files with text ids, read with ids as numbers."""
+    path = scratch(spark, "vectors")
+    tables.vectors(spark, sf_dir).select(F.col("vec_id").cast("string").alias("id"), F.col("vector").alias("embedding")).write.parquet(path)
+    total = F.aggregate(F.transform("embedding", lambda x: x.cast("double")), F.lit(0.0), lambda a, x: a + x)
+    return files.read_embeddings(spark, path).select("id", F.size("embedding").alias("width"), F.round(total, 6).alias("total"))
+
+
+@_query("select url as id, docstring as text, 'query' as side from pairs union all select url, code_text, 'code' from pairs", CODE, "pairs as (" + SQL["code_pairs"].removeprefix(f"with {CODE} ") + ")")
+def test_code(spark, sf_dir):
+    """Both sides of the code test corpus."""
+    lines = _code(spark, sf_dir)
+    queries = code.test_queries(lines).select("id", F.col("query").alias("text"), F.lit("query").alias("side"))
+    return queries.union(code.test_documents(lines).select("id", F.col("code").alias("text"), F.lit("code").alias("side")))
+
+
+_ALIGNED = """n as (select count(*) as n from embeddings),
+scored as (select query_id, product_id, ord, round(list_dot_product(a.embedding::double[], b.embedding::double[]), 9) as score
+  from examples, n join embeddings a on a.vec_id = query_id % n join embeddings b on b.vec_id = (product_id * 7 + 3) % n),
+ranked as (select *, row_number() over (partition by query_id order by score desc, ord) - 1 as rank, count(*) over (partition by query_id) as size from scored)"""
+
+
+@_query("select query_id::varchar as query_id, product_id::varchar as passage_id, rank, round_even((size - 1 - rank) * 128.0::double / size, 3) as score from ranked", EXAMPLES, _ALIGNED.replace("from examples, n join", "from (select * from examples, n) join"))
+def product_results(spark, sf_dir):
+    """The product test as one job: row-aligned vectors, their scores, and the three files; the results are read again."""
+    rows = tables.examples(spark, sf_dir)
+    vectors = tables.vectors(spark, sf_dir)
+    n = vectors.count()
+    key = F.struct("query_id", "pos").alias("key")
+    side = lambda at, *columns: rows.select(key, *columns, at.alias("vec_id")).join(vectors, "vec_id").select("key", *columns, "vector")
+    queries = side(F.col("query_id") % n, "query_id", "pos")
+    documents = side((F.col("product_id") * 7 + 3) % n, "product_id")
+    out = scratch(spark, "product")
+    evaluation.product_files(queries, documents, rows, "key", out)
+    return files.read_run_file(spark, f"{out}/results").select("query_id", "passage_id", "rank", "score")

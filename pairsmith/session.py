@@ -3,27 +3,24 @@
 import uuid
 
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder name that the driver and all executors see.
 
-    It lies under ``spark.checkpoint.dir``; where that is unset, as in tests,
-    beside the tables in the session's warehouse, which is shared as well.
+    It lies under ``spark.checkpoint.dir``. Where that is unset and all runs on
+    one machine, as in tests, it lies in the session's warehouse; on a cluster
+    the setting must name a shared folder.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.conf.get("spark.master").startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
     return f"{base.rstrip('/')}/pairsmith-{name}-{uuid.uuid4().hex}"
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut, for plans that read it more than once."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(scratch(df.sparkSession, "checkpoint"))
-    return df.checkpoint()
-
-
 def ship_package() -> None:
     """Let Python workers run this package's functions without having it installed."""
     import pairsmith

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import Row, functions as F
 
 from pairsmith.functions import text
-from pairsmith.operators import entities, metrics, retrieval, trec
+from pairsmith.operators import entities, metrics, order, retrieval, trec
 
 
 def one(spark, column, **values):
@@ -96,3 +96,19 @@ def test_vectors_of_different_lengths_are_an_error(spark):
     right = spark.createDataFrame([(1, [1.0, 2.0])], "k long, vector array<double>")
     with pytest.raises(Exception, match="different lengths"):
         retrieval.score_aligned(left, right, "k").collect()
+
+
+@pytest.mark.parametrize("groups, splits", [(3, 4), (3, 1), (90, 2)])
+def test_numbers_in_groups_that_are_cut(spark, groups, splits):
+    """Groups of up to 60 rows in buckets of about 5, below and above the number of groups that are broadcast."""
+    rows = [(g if g else None, (i * 37) % (20 + g % 41), i) for g in range(groups) for i in range(20 + g % 41)]
+    frame = spark.createDataFrame(rows, "g long, o long, i long")
+    found = order.group_row_number(frame, ["g"], [F.col("o"), F.col("i")], "n", max_rows=5, splits=splits, size="size")
+    wanted = {}
+    for g, o, i in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2])):
+        wanted[g, i] = sum(1 for k in wanted if k[0] == g) + 1
+    counts = {g: sum(1 for k in wanted if k[0] == g) for g, _, _ in rows}
+    assert {(r["g"], r["i"]): (r["n"], r["size"]) for r in found.collect()} == {k: (n, counts[k[0]]) for k, n in wanted.items()}
+    runs = order.number_runs(frame.withColumn("v", F.col("o") % 3 == 0), ["g"], [F.col("o"), F.col("i")], "v", max_rows=5, splits=splits)
+    plain = order.number_runs(frame.withColumn("v", F.col("o") % 3 == 0), ["g"], [F.col("o"), F.col("i")], "v")
+    assert sorted(map(tuple, runs.collect()), key=repr) == sorted(map(tuple, plain.collect()), key=repr)
