@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pairsmith.llm import shared
@@ -78,12 +79,6 @@ class Table:
         self.n += len(fresh)
         return slots
 
-    def totals(self) -> np.ndarray:
-        """Occurrences by bucket."""
-        out = np.zeros(self.buckets, np.int64)
-        np.add.at(out, self.bucket[self.used], self.count[self.used])
-        return out
-
 
 def runs(texts: list[bytes | None]) -> Iterator[tuple[list[bytes], list[int], list[int]]]:
     """Features of texts, about ``RUN_BYTES`` at a time: the features, the rows that they come from, and how many of each.
@@ -110,21 +105,52 @@ def runs(texts: list[bytes | None]) -> Iterator[tuple[list[bytes], list[int], li
         yield grams, rows, sizes
 
 
-def bucket_counts(texts: DataFrame, text_column: str = "text", buckets: int = BUCKETS) -> DataFrame:
-    """(bucket, n): occurrences of features over all texts; each task sends a row a bucket at most."""
-    shared.small_batches(texts.sparkSession)
+def interned(docs: DataFrame, text_column: str = "text", buckets: int = BUCKETS) -> DataFrame:
+    """``docs`` with n_features and features, which replace columns of these names.
+
+    ``features`` has the bucket of each feature of a text, as compressed numbers:
+    the bytes of n-grams are looked at once, and what follows only gathers.
+    """
+    shared.small_batches(docs.sparkSession)
+
+    def make():
+        small = zstandard.ZstdCompressor(level=1)
+
+        def work(batch: pa.RecordBatch) -> list:
+            table, parts = Table(buckets), [[] for _ in range(batch.num_rows)]
+            for grams, rows, sizes in runs(shared.texts(batch, text_column)):
+                slots = table.intern(grams)
+                found = table.bucket[slots].astype(np.uint32)
+                ends = np.cumsum(sizes).tolist()
+                for row, end, size in zip(rows, ends, sizes):
+                    parts[row].append(found[end - size : end])
+            n = [sum(map(len, p)) for p in parts]
+            return [n, [small.compress(shared.packed(np.concatenate(p))) if k else None for p, k in zip(parts, n)]]
+
+        return work
+
+    return shared.appended(docs, [("n_features", "long"), ("features", "binary")], make)
+
+
+def _features(batch: pa.RecordBatch, index: int) -> Iterator[np.ndarray]:
+    """The buckets of each row's features."""
+    small, none = zstandard.ZstdDecompressor(), np.empty(0, np.uint32)
+    for data in batch.column(index).to_pylist():
+        yield np.frombuffer(small.decompress(data), np.uint32) if data else none
+
+
+def bucket_counts(rows: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """(bucket, n): occurrences of features over all ``interned`` rows; each task sends a row a bucket at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, np.int64)
         for batch in batches:
-            table = Table(buckets)
-            for grams, _, _ in runs(shared.texts(batch, text_column)):
-                table.intern(grams)
-            total += table.totals()
+            for own in _features(batch, 0):
+                np.add.at(total, own, 1)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
 
-    return texts.select(text_column).mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    return rows.select("features").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
 def bucket_gains(corpus: DataFrame, target: DataFrame, buckets: int = BUCKETS) -> DataFrame:
@@ -144,31 +170,22 @@ def noise(key: Column, seed: str = SEED) -> Column:
     return F.floor(-SCALE * F.log(-F.log((h + 0.5) / float(1 << 32)))).cast("long")
 
 
-def weigh(docs: DataFrame, gains: list[int], text_column: str = "text") -> DataFrame:
-    """``docs`` with n_features and weight, the floored mean gain of a document's features (0 without any)."""
-    shared.small_batches(docs.sparkSession)
-    known = docs.sparkSession.sparkContext.broadcast(np.array(gains, np.int64))  # a number a bucket
+def weigh(rows: DataFrame, gains: list[int]) -> DataFrame:
+    """``interned`` rows with weight, the floored mean gain of their features (0 without any)."""
+    known = rows.sparkSession.sparkContext.broadcast(np.array(gains, np.int64))  # a number a bucket
 
     def make():
-        gain = known.value
-
         def work(batch: pa.RecordBatch) -> list:
-            n, total, table = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), Table(len(gain))
-            for grams, rows, sizes in runs(shared.texts(batch, text_column)):
-                slots = table.intern(grams)
-                sums = np.concatenate([[0], np.cumsum(gain[table.bucket[slots]])])
-                ends = np.cumsum(sizes)
-                np.add.at(n, rows, sizes)
-                np.add.at(total, rows, sums[ends] - sums[ends - sizes])
-            return [n, total // np.maximum(n, 1)]
+            found = _features(batch, batch.schema.get_field_index("features"))
+            return [[int(known.value[own].sum()) // max(len(own), 1) for own in found]]
 
         return work
 
-    return shared.appended(docs, [("n_features", "long"), ("weight", "long")], make)
+    return shared.appended(rows, [("weight", "long")], make).drop("features")
 
 
 def resample(docs: DataFrame, target: DataFrame, id_column: str = "doc_id", text_column: str = "text", target_text: str = "text", keep: list[str] | None = None, buckets: int = BUCKETS, least_words: int = LEAST_WORDS, percent: int = PERCENT, seed: str = SEED) -> DataFrame:
-    """The columns ``keep`` of ``docs`` (None: all) with n_features, weight, score and rank, which replace columns of these names.
+    """The columns ``keep`` of ``docs`` (None: all) with n_features, weight, score and rank, which replace columns of these names, as does features.
 
     Of the documents with ``least_words`` words or more, ``percent`` of a hundred
     (rounded down) with the highest scores are drawn, ranked 1, 2, 3 …; all others
@@ -181,12 +198,14 @@ def resample(docs: DataFrame, target: DataFrame, id_column: str = "doc_id", text
     10 ** 5 values), so the cut and the ranks before each score come from a small
     histogram; documents meet only with those of the same score.
     """
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("n_features", "weight", "score", "rank")]
-    corpus = shared.written(bucket_counts(docs, text_column, buckets), "buckets")
-    gains = bucket_gains(corpus, bucket_counts(target, target_text, buckets), buckets).orderBy("bucket").collect()  # a number a bucket
-    weighed = weigh(docs.select(*dict.fromkeys([*keep, id_column, text_column])), [r["gain"] for r in gains], text_column)
-    score = (F.col("weight") + noise(F.col(id_column), seed)).alias("score")
-    scored = weighed.select(*dict.fromkeys([*keep, id_column]), "n_features", "weight", score)
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("n_features", "features", "weight", "score", "rank")]
+    rows = interned(docs.select(*dict.fromkeys([*keep, id_column, text_column])), text_column, buckets)
+    rows = shared.written(rows.select(*dict.fromkeys([*keep, id_column]), "n_features", "features"), "features")
+    corpus = bucket_counts(rows, buckets)
+    gains = bucket_gains(corpus, bucket_counts(interned(target.select(target_text), target_text, buckets), buckets), buckets)
+    weighed = weigh(rows, [r["gain"] for r in gains.orderBy("bucket").collect()])  # a number a bucket
+    score = (F.col("weight") + noise(F.col(id_column), seed))
+    scored = weighed.withColumn("score", score).select(*dict.fromkeys([*keep, id_column]), "n_features", "weight", "score")
     scored = shared.written(scored, "scored")
 
     long_enough = F.col("n_features") >= 2 * least_words - 1

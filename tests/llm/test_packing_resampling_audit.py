@@ -161,7 +161,6 @@ def test_the_table_tells_equal_hashes_apart(monkeypatch):
         said += grams
         assert [table.grams[s] for s in slots] == grams
     assert {g: c for g, c, u in zip(table.grams, table.count, table.used) if u} == Counter(said) and table.n == len(set(said))
-    assert table.totals().sum() == len(said)
 
 
 def slow_features(text):
