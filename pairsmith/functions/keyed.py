@@ -28,3 +28,8 @@ def once(df: DataFrame, name: str, column: Column) -> DataFrame:
     lambdas, where it runs for each item. It does not copy through a generator.
     """
     return df.select(*(c for c in df.columns if c != name), F.explode(F.array(column)).alias(name))
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value evaluated once for each row, also where the body uses it inside lambdas."""
+    return F.element_at(F.transform(F.array(value), body), 1)

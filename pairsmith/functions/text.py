@@ -5,6 +5,8 @@ import json
 
 from pyspark.sql import Column, functions as F, types as T
 
+from pairsmith.functions.keyed import let
+
 # The white space that a plain Python split removes.
 WHITE_SPACE = (
     r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -40,8 +42,7 @@ def unescaped(text: Column) -> Column:
 def html_to_text(markup: Column) -> Column:
     """Text nodes joined without a separator; comments, scripts and styles are left out."""
     stripped = F.regexp_replace(F.regexp_replace(markup, INVISIBLE_MARKUP, ""), TAG, "")
-    # ``unescaped`` uses its input several times; as the item of an array the markup is stripped once.
-    return F.element_at(F.transform(F.array(stripped), unescaped), 1)
+    return let(stripped, unescaped)  # which uses its input several times
 
 
 def ws_tokens(text: Column) -> Column:

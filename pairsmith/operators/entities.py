@@ -3,7 +3,7 @@
 from pyspark.sql import Column, functions as F
 
 from pairsmith.functions import text
-from pairsmith.functions.keyed import keyed_hash
+from pairsmith.functions.keyed import keyed_hash, let
 from pairsmith.functions.languages import LANGUAGES
 
 PROPER_NOUN = r"^\p{Lu}\p{L}*$"
@@ -31,7 +31,7 @@ def _drawn(names: Column, key: Column, seed: int) -> Column:
 
 
 def _all_of(names: Column, values: Column) -> Column:
-    return F.filter(names, lambda n: F.array_contains(values, n))
+    return let(values, lambda known: F.filter(names, lambda n: F.array_contains(known, n)))
 
 
 def sample_identifiers(names: Column, key: Column, share: Column, seed: int) -> Column:
@@ -42,16 +42,17 @@ def sample_identifiers(names: Column, key: Column, share: Column, seed: int) ->
 
 def select_half(names: Column, key: Column, seed: int) -> Column:
     """All occurrences of values drawn until they make up half of the list."""
-    drawn = F.array_distinct(_drawn(names, key, seed))
-    counts = F.transform(drawn, lambda v: F.size(F.filter(names, lambda n: n == v)))
     start = F.struct(F.lit(0).alias("n"), F.floor(F.size(names) / 2).cast("int").alias("left"))
 
     def step(state, count):
         more = F.struct((state["n"] + 1).alias("n"), (state["left"] - count).alias("left"))
         return F.when(state["left"] > 0, more).otherwise(state)
 
-    n_values = F.aggregate(counts, start, step, lambda state: state["n"])
-    return _all_of(names, F.slice(drawn, F.lit(1), n_values))
+    def first_half(drawn: Column) -> Column:
+        counts = F.transform(drawn, lambda v: F.size(F.filter(names, lambda n: n == v)))
+        return F.slice(drawn, F.lit(1), F.aggregate(counts, start, step, lambda state: state["n"]))
+
+    return _all_of(names, let(F.array_distinct(_drawn(names, key, seed)), first_half))
 
 
 def chosen_identifiers(names: Column, language: Column, key: Column, seed: int) -> Column:
