@@ -2,7 +2,6 @@
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pairsmith.llm import decontaminate, embedding_dedup, filter_audit, language_id, lm_scoring, minhash_dedup, mixing, packing, pii, resampling, shared, suffix_dedup, url_filter, warc
@@ -74,6 +73,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers  # vocabulary files that only this query needs
+
     packed = packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
