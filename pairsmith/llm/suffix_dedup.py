@@ -34,6 +34,8 @@ BLOCK_BYTES = 16 << 20
 #: Anchors of a bucket, on average, before blocks are merged.
 BUCKET_ANCHORS = 1_000_000
 LEAST_BUCKETS = 64
+#: Strings that are compared at a time.
+COMPARED = 1 << 16
 
 _MIXER = np.uint64(0xD6E8FEB86659FD93)
 _PLACE = np.uint64((1 << 24) - 1)
@@ -124,8 +126,11 @@ def suffix_order(data: bytes, starts: np.ndarray, length: int) -> tuple[np.ndarr
     new = np.concatenate([[True], prints[together[1:]] != prints[together[:-1]]])
     one = starts[together]
     again = np.flatnonzero(~new)
-    if any((words[one[again] + at] != words[one[again - 1] + at]).any() for at in steps):
-        return _plain_order(data, starts, length)
+    strings = np.lib.stride_tricks.sliding_window_view(np.frombuffer(data, np.uint8), length)
+    for part in range(0, len(again), COMPARED):
+        rows = again[part : part + COMPARED]
+        if (strings[one[rows]] != strings[one[rows - 1]]).any():
+            return _plain_order(data, starts, length)
     first = np.flatnonzero(new)
     distinct = one[first]
 
@@ -167,10 +172,17 @@ def suffix_order(data: bytes, starts: np.ndarray, length: int) -> tuple[np.ndarr
 
 
 def repeated_windows(data: bytes, starts: np.ndarray, length: int) -> np.ndarray:
-    """Which suffixes have an earlier one that is equal for ``length`` bytes; the suffixes come in order of position."""
-    order, common = suffix_order(data, starts, length)
-    out = np.zeros(len(order), bool)
-    out[order] = previous_factors(order, common) >= length
+    """Which suffixes have an earlier one that is equal for ``length`` bytes; the suffixes come in order of position.
+
+    One whose fingerprint no other has matches none so far, so it stays out of the suffix array.
+    """
+    out = np.zeros(len(starts), bool)
+    prints = byte_windows(data, length)[starts]
+    together = np.argsort(prints)
+    same = prints[together[1:]] == prints[together[:-1]]
+    some = np.sort(together[np.concatenate([same, [False]]) | np.concatenate([[False], same])]) if len(starts) else together
+    order, common = suffix_order(data, starts[some], length)
+    out[some[order]] = previous_factors(order, common) >= length
     return out
 
 
