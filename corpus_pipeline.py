@@ -11,9 +11,9 @@ KEY = b"corpus pipeline"
 
 
 def _apart(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
-    """``docs`` with a copy of every column under a name that no operator uses, and the names of the copies."""
+    """``docs`` with its columns under names that no operator uses, and these names."""
     copies = {c: f"pipeline_{i}_{c}" for i, c in enumerate(docs.columns)}
-    return docs.withColumns({copy: F.col(f"`{c}`") for c, copy in copies.items()}), copies
+    return docs.select(*(F.col(f"`{c}`").alias(copy) for c, copy in copies.items())), copies
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
