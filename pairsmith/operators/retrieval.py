@@ -3,9 +3,11 @@
 All-against-all work never makes a row per pair. A fold keeps, per query, only
 what the result needs (the best k, a count), while documents pass by in matrix
 blocks. Queries of a checked size are broadcast and documents stay where they
-are; beyond that size both sides are dealt out to cells of bounded size.
+are; beyond that size queries are dealt out to blocks of bounded size, and a
+task streams all documents past a block.
 """
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -18,8 +20,11 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pairsmith.functions import arrays
 from pairsmith.operators.order import group_row_number
 
-MAX_BROADCAST_BYTES = 64 << 20
+# Bytes of the queries, with what a fold holds for them, that each task may have.
+MAX_BROADCAST_BYTES = 32 << 20
 CELL_BYTES = 64 << 20
+# Rows of a batch that a task gives out.
+OUTPUT_ROWS = 1 << 16
 # Queries and passages of a cell of a batch's score matrix.
 CELL_ROWS = 2_048
 # Scores are compared after rounding: equal vectors tie, whatever the block shapes.
@@ -71,77 +76,111 @@ def _score_slices(queries: np.ndarray, documents: np.ndarray) -> Iterator[tuple[
 
 
 class TopK:
-    """The k best documents per query: score descending, then id ascending. Ids are of any type that sorts."""
+    """The k best documents per query: score descending, then id ascending. Ids are of any type that sorts.
+
+    The state is a score and a place of ``k`` documents for each query. Of a
+    block of scores only those that reach a query's k-th best are looked at.
+    """
 
     def __init__(self, k: int, query_type: str = "bigint", document_type: str = "bigint", kind: pa.DataType = pa.int64()):
         self.k, self.kind = k, kind
         self.schema = f"query_id {query_type}, doc_id {document_type}, score double"
+        self.state_bytes = 16 * k
 
     def start(self, queries: pa.Table) -> None:
         self.ids = _column(queries, "query_id")
         self.queries = _matrix(_column(queries, "vector"))
-        self.scores = np.full((len(self.ids), 0), -np.inf)
-        self.docs = np.empty((len(self.ids), 0), object)
+        self.names = pa.array([], self.kind)
+        self.scores, self.docs = np.empty((len(self.ids), 0)), np.empty((len(self.ids), 0), np.int64)
+        self.sizes = np.zeros(len(self.ids), np.int64)
 
     def add(self, documents: pa.Table) -> None:
-        """One sort for all queries of a slice: their best so far beside the new scores."""
-        column = _column(documents, "doc_id")
-        order = np.asarray(pc.sort_indices(column))
-        ids = np.array(column.to_pylist(), object)[order]
-        matrix = _matrix(_column(documents, "vector"))[order]
-        documents = documents.take(order)
-        width = min(self.k, self.scores.shape[1] + len(ids))
-        scores, docs = np.full((len(self.ids), width), -np.inf), np.empty((len(self.ids), width), object)
-        for rows, new in _score_slices(self.queries, matrix):
+        before = len(self.names)
+        self.names = pa.concat_arrays([self.names, _column(documents, "doc_id").cast(self.kind)])
+        rank = np.asarray(pc.rank(self.names, tiebreaker="first")).astype(np.int64)
+        width = min(self.k, len(self.names))
+        if width > self.scores.shape[1]:
+            more = ((0, 0), (0, width - self.scores.shape[1]))
+            self.scores, self.docs = np.pad(self.scores, more), np.pad(self.docs, more)
+        for rows, new in _score_slices(self.queries, _matrix(_column(documents, "vector"))):
             self.seen(rows, new, documents)
-            top = np.argsort(-new, axis=1, kind="stable")[:, : self.k]  # equal scores stay in id order
-            both = np.concatenate([self.scores[rows], np.take_along_axis(new, top, axis=1)], axis=1)
-            names = np.concatenate([self.docs[rows], ids[top]], axis=1)
-            by_id = np.argsort(names, axis=1, kind="stable")
-            place = np.arange(len(both))[:, None]
-            best = by_id[place, np.argsort(-both[place, by_id], axis=1, kind="stable")[:, :width]]
-            scores[rows], docs[rows] = both[place, best], names[place, best]
-        self.scores, self.docs = scores, docs
+            for query, row in zip(range(len(self.ids))[rows], new):
+                self._merge(query, row, before, rank)
+
+    def _merge(self, query: int, row: np.ndarray, before: int, rank: np.ndarray) -> None:
+        """The best of a query's list and a row of scores, whose documents have places from ``before`` on."""
+        size = self.sizes[query]
+        at = np.arange(len(row)) if size < self.k else np.flatnonzero(~(row < self.scores[query, self.k - 1]))
+        if len(at) > self.k:
+            reached = row[at] >= np.partition(row[at], len(at) - self.k)[len(at) - self.k]
+            at = at[reached] if reached.sum() >= self.k else at  # fewer only where scores are no numbers
+        if not len(at):
+            return
+        scores = np.concatenate([self.scores[query, :size], row[at]])
+        docs = np.concatenate([self.docs[query, :size], at + before])
+        best = np.lexsort((rank[docs], -scores))[: self.k]
+        self.sizes[query] = size = len(best)
+        self.scores[query, :size], self.docs[query, :size] = scores[best], docs[best]
 
     def seen(self, rows: slice, scores: np.ndarray, documents: pa.Table) -> None:
         """What a fold with further measures takes from a block of scores; nothing here."""
 
     def finish(self) -> pa.Table:
-        width = self.scores.shape[1]
+        there = np.arange(self.scores.shape[1]) < self.sizes[:, None]
         return pa.table(
             {
-                "query_id": self.ids.take(pa.array(np.repeat(np.arange(len(self.ids)), width))),
-                "doc_id": pa.array(self.docs.ravel().tolist(), self.kind),
-                "score": self.scores.ravel(),
+                "query_id": self.ids.take(pa.array(np.repeat(np.arange(len(self.ids)), self.sizes))),
+                "doc_id": self.names.take(pa.array(self.docs[there])),
+                "score": self.scores[there],
             }
         )
 
 
 class Measures(TopK):
-    """The k best documents per query, and from the same scores two counts for each query.
+    """The best documents per query, and from the same scores two counts for each query.
 
-    ``n_better``: documents other than its own that score at least as high as its
-    own; ``n_relevant``: documents with the query's label. The counts come as
-    rows without a document.
+    A list ends with its first relevant document, but has ``shown`` documents at
+    least and ``k`` at most: what comes later changes neither the place of the
+    first hit nor the first ``shown`` places. ``n_better``: documents other than
+    its own that score at least as high as its own; ``n_relevant``: documents
+    with the query's label. The counts come as rows without a document.
     """
 
-    def __init__(self, k: int, *types):
+    def __init__(self, k: int, shown: int, *types):
         super().__init__(k, *types)
+        self.shown = shown
         self.schema += ", n_better bigint, n_relevant bigint"
 
     def start(self, queries: pa.Table) -> None:
         super().start(queries)
-        self.names = np.array(self.ids.to_pylist())
+        self.query_names = np.array(self.ids.to_pylist())
         self.own = np.asarray(_column(queries, "own_score"), dtype=np.float64)
-        self.labels = np.array(_column(queries, "label").to_pylist())
+        labels = _column(queries, "label")
+        self.known = pc.unique(labels).drop_null()
+        self.label = self._coded(labels, -2)
         self.better, self.relevant = np.zeros((2, len(self.ids)), np.int64)
+        self.found = np.empty(0, np.int64)
+
+    def _coded(self, labels: pa.Array, unknown: int) -> np.ndarray:
+        return np.asarray(pc.fill_null(pc.index_in(labels, self.known), unknown)).astype(np.int64)
+
+    def add(self, documents: pa.Table) -> None:
+        labels = self._coded(_column(documents, "label"), -1)
+        counts = np.append(np.bincount(labels[labels >= 0], minlength=len(self.known)), 0)
+        self.relevant += counts[np.maximum(self.label, -1)]
+        self.found = np.concatenate([self.found, labels])
+        self.block_names = np.array(_column(documents, "doc_id").to_pylist())
+        super().add(documents)
 
     def seen(self, rows: slice, scores: np.ndarray, documents: pa.Table) -> None:
-        ids, labels = (np.array(_column(documents, name).to_pylist()) for name in ("doc_id", "label"))
-        self.better[rows] += ((scores >= self.own[rows, None]) & (ids[None, :] != self.names[rows, None])).sum(axis=1)
-        self.relevant[rows] += (labels[None, :] == self.labels[rows, None]).sum(axis=1)
+        self.better[rows] += ((scores >= self.own[rows, None]) & (self.block_names[None, :] != self.query_names[rows, None])).sum(axis=1)
 
     def finish(self) -> pa.Table:
+        if self.scores.shape[1]:
+            there = np.arange(self.scores.shape[1]) < self.sizes[:, None]
+            hits = there & (self.found[self.docs] == self.label[:, None])
+            last = np.where(hits.any(axis=1), np.maximum(self.shown, hits.argmax(axis=1) + 1), self.k)
+            self.sizes = np.minimum(self.sizes, last)
         top = super().finish()
         none = pa.nulls(top.num_rows, pa.int64())
         top = top.append_column("n_better", none).append_column("n_relevant", none)
@@ -152,6 +191,8 @@ class Measures(TopK):
 class AtLeastAsGood:
     """Per query, the number of documents other than its own that score at least as high as its own."""
 
+    state_bytes = 32
+
     def __init__(self, query_type: str = "bigint"):
         self.schema = f"query_id {query_type}, n_better bigint"
 
@@ -175,6 +216,8 @@ class AtLeastAsGood:
 class Summary:
     """Per query over all documents: how many, the best score, and the sum of the scores."""
 
+    state_bytes = 32
+
     def __init__(self, query_type: str = "bigint"):
         self.schema = f"query_id {query_type}, n_scored bigint, best_score double, score_sum double"
 
@@ -203,6 +246,7 @@ class PerGroup:
     def __init__(self, column: str, make_fold):
         self.column, self.make_fold = column, make_fold
         self.schema = f"{column} bigint, {make_fold().schema}"
+        self.state_bytes = make_fold().state_bytes
 
     def _parts(self, table: pa.Table) -> Iterator[tuple[int, pa.Table]]:
         for value in pc.unique(_column(table, self.column)).to_pylist():
@@ -238,7 +282,7 @@ def fold_scores(
     ``queries``: query_id, vector and what the fold needs; ``documents``: doc_id, vector; ids unique.
     """
     n_queries, width = queries.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("vector")), F.lit(1))).first()
-    row_bytes = 8 * (width + 4)
+    row_bytes = 8 * (width + 4) + fold.state_bytes
     if n_queries * row_bytes <= max_broadcast_bytes:
         rows = queries.toArrow()
         shared = queries.sparkSession.sparkContext.broadcast(rows)
@@ -252,35 +296,47 @@ def fold_scores(
                 if batch.num_rows:
                     fold.add(pa.Table.from_batches([batch]))
             if started:
-                yield from fold.finish().to_batches()
+                yield from fold.finish().to_batches(OUTPUT_ROWS)
 
         return documents.mapInArrow(pass_by, fold.schema)
 
-    # Both sides are large: cell (i, j) holds query block i and document block j.
-    per_cell = max(1, cell_bytes // row_bytes)
-    query_blocks = math.ceil(n_queries / per_cell)
-    document_blocks = max(1, math.ceil(documents.count() / per_cell))
-
-    def block(column, n):
-        return F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
-
-    # Fresh columns on both sides, which may come from one table.
-    queries = queries.select(*(F.col(c).alias(c) for c in queries.columns))
-    documents = documents.select(*(F.col(c).alias(c) for c in documents.columns))
-    q = queries.withColumn("_i", block("query_id", query_blocks)).withColumn(
-        "_j", F.explode(F.sequence(F.lit(0), F.lit(document_blocks - 1)))
-    )
-    d = documents.withColumn("_j", block("doc_id", document_blocks)).withColumn(
-        "_i", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))
-    )
-
-    def cell(left: pa.Table, right: pa.Table) -> pa.Table:
-        fold.start(left)
-        if right.num_rows:
-            fold.add(right)
-        return fold.finish()
-
-    return q.groupBy("_i", "_j").cogroup(d.groupBy("_i", "_j")).applyInArrow(cell, fold.schema)
+    # Blocks of queries with their state are of bounded size, and all documents stream past each.
+    by = [fold.column] if isinstance(fold, PerGroup) else []
+    sizes = queries.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    groups, most = sizes.agg(F.count(F.lit(1)), F.max("_n")).first()
+    blocks = math.ceil(most / max(1, cell_bytes // row_bytes))
+    cell = [*by, "_block"]
+    q = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("_side", F.lit(0))
+    d = documents.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("_side", F.lit(1))
+    dealt = q.unionByName(d, allowMissingColumns=True).repartition(2 * groups * blocks, *cell).sortWithinPartitions(*cell, "_side")
+
+    def pass_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, waiting, started = None, [], False
+
+        def finished() -> Iterator[pa.RecordBatch]:
+            if waiting:
+                if not started:
+                    fold.start(pa.concat_tables(waiting))
+                yield from fold.finish().to_batches(OUTPUT_ROWS)
+
+        for batch in batches:
+            table, place = pa.Table.from_batches([batch]), 0
+            for (key, side), run in itertools.groupby(zip(zip(*(table.column(c).to_pylist() for c in cell)), table.column("_side").to_pylist())):
+                part = table.slice(place, len(list(run)))
+                place += part.num_rows
+                if key != current:
+                    yield from finished()
+                    current, waiting, started = key, [], False
+                if side == 0:
+                    waiting.append(part)
+                elif waiting:
+                    if not started:
+                        fold.start(pa.concat_tables(waiting))
+                        started = True
+                    fold.add(part)
+        yield from finished()
+
+    return dealt.mapInArrow(pass_blocks, fold.schema)
 
 
 def top_k(queries: DataFrame, documents: DataFrame, k: int, **sizes) -> DataFrame:

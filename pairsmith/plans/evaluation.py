@@ -57,7 +57,7 @@ def measures_by_step(queries: DataFrame, documents: DataFrame, cut_ndcg: int = 1
     score = F.round(arrays.dot(F.col("vector"), F.col("_d")), retrieval.SCORE_DIGITS).alias("own_score")
     known = queries.join(own, keys).select(*keys, "vector", "label", score)
     types = retrieval.id_types(known, documents)
-    fold = retrieval.PerGroup("step", lambda: retrieval.Measures(max(cut_ndcg, cut_mrr), *types))
+    fold = retrieval.PerGroup("step", lambda: retrieval.Measures(max(cut_ndcg, cut_mrr), cut_ndcg, *types))
     partial = retrieval.fold_scores(known, documents.select("step", "doc_id", "vector", "label"), fold, **sizes)
     counts = partial.where("doc_id is null").groupBy(*keys).agg(F.sum("n_better").alias("n_better"), F.sum("n_relevant").alias("n_relevant"))
 

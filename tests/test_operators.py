@@ -112,3 +112,30 @@ def test_numbers_in_groups_that_are_cut(spark, groups, splits):
     runs = order.number_runs(frame.withColumn("v", F.col("o") % 3 == 0), ["g"], [F.col("o"), F.col("i")], "v", max_rows=5, splits=splits)
     plain = order.number_runs(frame.withColumn("v", F.col("o") % 3 == 0), ["g"], [F.col("o"), F.col("i")], "v")
     assert sorted(map(tuple, runs.collect()), key=repr) == sorted(map(tuple, plain.collect()), key=repr)
+
+
+def test_a_task_holds_the_state_of_a_bounded_number_of_queries(spark):
+    class Watched(retrieval.TopK):
+        def start(self, queries):
+            assert queries.num_rows <= 60, f"{queries.num_rows} queries with {self.k} documents each in one task"
+            super().start(queries)
+
+    rng = random.Random(2)
+    rows = [(i, [float(rng.randint(-3, 3)) for _ in range(4)]) for i in range(300)]
+    queries, documents = (spark.createDataFrame(rows, f"{name} long, vector array<double>") for name in ("query_id", "doc_id"))
+    found = retrieval.fold_scores(queries, documents, Watched(100), max_broadcast_bytes=100_000, cell_bytes=50_000).collect()
+    assert len(found) == 300 * 100
+    best = sorted((-sum(a * b for a, b in zip(rows[7][1], v)), i) for i, v in rows)[:100]
+    assert sorted((-r["score"], r["doc_id"]) for r in found if r["query_id"] == 7) == best
+
+
+def test_lists_of_measures_end_with_the_first_hit():
+    import pyarrow as pa
+
+    fold = retrieval.Measures(5, 2)
+    fold.start(pa.table({"query_id": [1, 2, 3], "vector": [[1.0]] * 3, "label": [7, 8, None], "own_score": [0.5, 9.0, 9.0]}))
+    for ids in ([10, 11, 12], [13, 14, 15]):
+        fold.add(pa.table({"doc_id": ids, "vector": [[20.0 - i] for i in ids], "label": [{12: 7, 10: 8}.get(i) for i in ids]}))
+    found = fold.finish().to_pylist()
+    assert [[r["doc_id"] for r in found if r["query_id"] == q and r["doc_id"]] for q in (1, 2, 3)] == [[10, 11, 12], [10, 11], [10, 11, 12, 13, 14]]
+    assert [(r["n_better"], r["n_relevant"]) for r in found if r["doc_id"] is None] == [(6, 1), (2, 1), (2, 0)]
