@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import Row, functions as F
 
