@@ -23,6 +23,8 @@ from pairsmith.operators.order import group_row_number
 # Bytes of the queries, with what a fold holds for them, that each task may have.
 MAX_BROADCAST_BYTES = 32 << 20
 CELL_BYTES = 64 << 20
+# Bytes of a table of vectors that every executor may hold.
+MAX_TABLE_BYTES = 256 << 20
 # Rows of a batch that a task gives out.
 OUTPUT_ROWS = 1 << 16
 # Queries and passages of a cell of a batch's score matrix.
@@ -42,10 +44,26 @@ def id_types(queries: DataFrame, documents: DataFrame) -> tuple[str, str, pa.Dat
     return _type(queries, "query_id"), _type(documents, "doc_id"), to_arrow_type(documents.schema["doc_id"].dataType)
 
 
-def score_aligned(queries: DataFrame, documents: DataFrame, key: str) -> DataFrame:
-    """Dot product of the two rows with the same key."""
-    left = queries.withColumnRenamed("vector", "_q")
-    return left.join(documents.withColumnRenamed("vector", "_d"), key).withColumn(
+def _vector_of(rows: DataFrame, at: str, vectors: DataFrame, name: str) -> DataFrame:
+    """``rows`` with the vector that ``at`` points to."""
+    return rows.join(vectors.select(F.col("vec_id").alias(at), F.col("vector").alias(name)), at).drop(at)
+
+
+def score_aligned(queries: DataFrame, documents: DataFrame, key: str, vectors: DataFrame | None = None, max_bytes: int = MAX_TABLE_BYTES) -> DataFrame:
+    """Dot product of the two rows with the same key.
+
+    With ``vectors`` (vec_id, vector) both sides have the ``vec_id`` of their
+    vector in its place. The rows are aligned without vectors, which then come
+    from a broadcast of up to ``max_bytes``; a larger table is joined.
+    """
+    if vectors is None:
+        aligned = queries.withColumnRenamed("vector", "_q").join(documents.withColumnRenamed("vector", "_d"), key)
+    else:
+        size = vectors.agg(F.coalesce(F.sum(4 * F.coalesce(F.size("vector"), F.lit(0)) + 64), F.lit(0))).first()[0]
+        known = F.broadcast(vectors) if size <= max_bytes else vectors
+        aligned = queries.withColumnRenamed("vec_id", "_at_q").join(documents.withColumnRenamed("vec_id", "_at_d"), key)
+        aligned = _vector_of(_vector_of(aligned, "_at_q", known, "_q"), "_at_d", known, "_d")
+    return aligned.withColumn(
         "score", F.round(arrays.dot(F.col("_q"), F.col("_d")), SCORE_DIGITS)
     ).drop("_q", "_d")
 

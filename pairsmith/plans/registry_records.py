@@ -7,7 +7,7 @@ from pairsmith.functions import text
 from pairsmith.operators import groups, order, pairs, retrieval, vocabulary
 from pairsmith.plans import code, evaluation, product, tables
 from pairsmith.plans.registry import _COMPLETE, _COUNTED, _FINETUNE, _PAIRS, _WORDS, CODE, EXAMPLES, LIST, PRODUCTS, SQL, VECTORS, _code, _items, _passages, _query, _stored
-from pairsmith.session import scratch
+from pairsmith.session import scratch, stored
 from pairsmith.sources import files
 from pairsmith.streaming import streams
 
@@ -268,13 +268,13 @@ ranked as (select *, row_number() over (partition by query_id order by score des
 @_query("select query_id::varchar as query_id, product_id::varchar as passage_id, rank, round_even((size - 1 - rank) * 128.0::double / size, 3) as score from ranked", EXAMPLES, _ALIGNED.replace("from examples, n join", "from (select * from examples, n) join"))
 def product_results(spark, sf_dir):
     """The product test as one job: row-aligned vectors, their scores, and the three files; the results are read again."""
-    rows = tables.examples(spark, sf_dir)
-    vectors = tables.vectors(spark, sf_dir)
+    rows = stored(tables.examples(spark, sf_dir).select("query_id", "product_id", "pos", "esci_label"), "examples")
+    vectors = tables.vectors(spark, sf_dir).select("vec_id", "vector")
     n = vectors.count()
     key = F.struct("query_id", "pos").alias("key")
-    side = lambda at, *columns: rows.select(key, *columns, at.alias("vec_id")).join(vectors, "vec_id").select("key", *columns, "vector")
+    side = lambda at, *columns: rows.select(key, *columns, at.alias("vec_id"))
     queries = side(F.col("query_id") % n, "query_id", "pos")
     documents = side((F.col("product_id") * 7 + 3) % n, "product_id")
     out = scratch(spark, "product")
-    evaluation.product_files(queries, documents, rows, "key", out)
+    evaluation.product_files(queries, documents, rows, "key", out, vectors)
     return files.read_run_file(spark, f"{out}/results").select("query_id", "passage_id", "rank", "score")

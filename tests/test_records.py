@@ -178,3 +178,14 @@ def test_counts_come_from_the_write_itself(spark):
 
     counted = files.write_json_lines(lines.withColumn("url", F.udf(passed, "string")("url")), scratch(spark, "lines"), pairs.variant_counts())
     assert counted["n_rows"] == lines.count() == tried.value == counted["n_code_tokens"] + counted["n_function_tokens"]
+
+
+def test_product_scores_take_vectors_by_reference(spark):
+    from pairsmith.operators import retrieval
+
+    vectors = spark.createDataFrame([(1, [1.0, 2.0]), (2, [3.0, 4.0]), (3, None)], "vec_id long, vector array<double>")
+    queries = spark.createDataFrame([("a", 1), ("b", 2), ("b", 2), ("c", 3)], "key string, vec_id long")
+    documents = spark.createDataFrame([("a", 2), ("b", 1), ("c", 1), ("d", 1)], "key string, vec_id long")
+    for limit in (1 << 20, 0):
+        scored = retrieval.score_aligned(queries, documents, "key", vectors, limit)
+        assert sorted((r["key"], r["score"]) for r in scored.collect() if r["score"]) == [("a", 11.0), ("b", 11.0), ("b", 11.0)] and scored.count() == 4
