@@ -24,11 +24,12 @@ def finetune_examples(examples: DataFrame, locale: str = "us") -> DataFrame:
     return pairs.select_examples(examples, locale, small=1, split="train")
 
 
-def pretrain_part(examples: DataFrame, products: DataFrame, part: str, seed: int = SEED) -> DataFrame:
-    """Pairs of the 'train' or 'dev' queries; the dev part stays raw text."""
-    wanted = pretrain_examples(examples)
+def pretrain_part(examples: DataFrame, products: DataFrame, part: str, seed: int = SEED, locale: str = "us", **options) -> DataFrame:
+    """Pairs of the 'train' or 'dev' queries; the dev part stays raw text. ``options`` are those of ``pretrain_pairs``."""
+    wanted = pretrain_examples(examples, locale)
     ids = split.split_ids(wanted, "query_id", PRETRAIN_DEV_SHARE, SPLIT_SEED)
-    return pairs.pretrain_pairs(split.rows_of(wanted, ids, "query_id", part), products, seed)
+    products = products.where(F.col("product_locale") == locale)
+    return pairs.pretrain_pairs(split.rows_of(wanted, ids, "query_id", part), products, seed, **options)
 
 
 def masked(texts: DataFrame, title: str, body: str) -> DataFrame:

@@ -132,10 +132,10 @@ ids as (select kind, key, string_agg(coalesce(id, case when starts_with(every.to
 from ids p join ids q on q.key = p.key and q.kind = 'query' join ids l on l.key = p.key and l.kind = 'label' where p.kind = 'positive'""", EXAMPLES, PRODUCTS, _PRETRAIN, _RECORDS)
 def pretrain_records(spark, sf_dir):
     """The written records of the product builder: pairs of the train part, masked, labelled and encoded."""
-    part = product.pretrain_part(tables.examples(spark, sf_dir), tables.products(spark, sf_dir), "train")
-    part = part.dropDuplicates(["query_id", "product_id"])
+    masked = lambda texts: product.masked(texts.dropDuplicates(pairs.JOIN_KEYS), "title", "positive").drop("title", "positive")
+    part = product.pretrain_part(tables.examples(spark, sf_dir), tables.products(spark, sf_dir), "train", prepare=masked, distinct=True)
     path = scratch(spark, "records")
-    records = product.pretrain_records(product.masked(part, "title", "positive"), _stored(spark, sf_dir))
+    records = product.pretrain_records(part, _stored(spark, sf_dir))
     files.write_json_lines(records, path)
     read = files.read_json_lines(spark, path, records.schema)
     return read.select("query_id", "product_id", _joined(F.col("query")).alias("query"), _joined(F.flatten("positives")).alias("positives"), _joined(F.col("labels")).alias("labels"))

@@ -189,3 +189,21 @@ def test_product_scores_take_vectors_by_reference(spark):
     for limit in (1 << 20, 0):
         scored = retrieval.score_aligned(queries, documents, "key", vectors, limit)
         assert sorted((r["key"], r["score"]) for r in scored.collect() if r["score"]) == [("a", 11.0), ("b", 11.0), ("b", 11.0)] and scored.count() == 4
+
+
+def test_each_product_is_masked_once(spark, monkeypatch):
+    from pairsmith.operators import pairs
+    from pairsmith.plans import product
+
+    examples = spark.createDataFrame([(q, p, "us", 1, "E") for q in range(40) for p in (1, 2)] + [(0, 1, "us", 1, "E")], "query_id long, product_id long, product_locale string, large_version int, esci_label string")
+    products = spark.createDataFrame([(p, loc, f"Title {p}", f"<b>Body</b> of Item {p}", "one line") for p in (1, 2) for loc in ("us", "jp")], "product_id long, product_locale string, product_title string, product_description string, product_bullet_point string")
+    seen = []
+
+    def prepare(texts):
+        seen.append(texts.count())
+        return product.masked(texts, "title", "positive")
+
+    part = product.pretrain_part(examples, products, "train", prepare=prepare, distinct=True)
+    whole = product.masked(product.pretrain_part(examples, products, "train").dropDuplicates(["query_id", "product_id"]), "title", "positive")
+    listed = lambda df: sorted(tuple(r) for r in df.select("query_id", "product_id", "query", "masked", "label").collect())
+    assert seen == [2] and listed(part) == listed(whole) and len(listed(part)) == 76
