@@ -1,5 +1,6 @@
 """Text to vectors."""
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -38,22 +39,23 @@ def encode_texts(
 def hashed_words(texts: DataFrame, id_column: str, text_column: str, width: int) -> DataFrame:
     """(id, vector): counts of lower-cased words by hash bucket, to unit length; a text without words has a zero vector.
 
-    A text is one row's own business: buckets are found by expressions and
-    counted batch by batch, without a shuffle. A NULL text is like an empty one.
+    A text is one row's own business: the distinct words of a batch are hashed
+    once and counted without a shuffle. A NULL text is like an empty one.
     """
     words = F.coalesce(text.word_tokens(F.lower(text_column)), F.array().cast("array<string>"))
-    bucket = F.transform(words, lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long"), F.lit(width)).cast("int"))
 
     @F.arrow_udf("array<double>")
     def counted(batch: pa.Array) -> pa.Array:
         sizes = np.asarray(pc.list_value_length(batch))
-        cells = np.repeat(np.arange(len(batch)), sizes) * width + np.asarray(batch.flatten())
+        coded = batch.flatten().dictionary_encode()
+        bucket = np.array([int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % width for w in coded.dictionary.to_pylist()], np.int64)
+        cells = np.repeat(np.arange(len(batch)), sizes) * width + bucket[np.asarray(coded.indices)]
         counts = np.bincount(cells, minlength=len(batch) * width).reshape(-1, width).astype(np.float64)
         lengths = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
         unit = counts / np.where(lengths > 0, lengths, 1.0)
         return pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1) * width, pa.int32()), pa.array(unit.ravel()))
 
-    return texts.select(id_column, counted(bucket).alias("vector"))
+    return texts.select(id_column, counted(words).alias("vector"))
 
 
 def linear_head(vectors: DataFrame, weights: DataFrame, max_bytes: int = MAX_HEAD_BYTES) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import Window, functions as F
 from pairsmith.operators import encode, retrieval
 from pairsmith.plans import evaluation, tables
 from pairsmith.plans.registry import _PAIRS, _WORDS, VECTORS, _query, _sweep
-from pairsmith.session import scratch
+from pairsmith.session import scratch, stored
 from pairsmith.sources import files
 
 WIDTH = 32
@@ -21,7 +21,7 @@ top as (select *, row_number() over (partition by query_id order by score desc,
 @_query("select query_id::varchar as query_id, doc_id::varchar as passage_id, rank, score from top where rank <= 10", _HASHED)
 def retrieve_to_run(spark, sf_dir):
     """Documents encoded, indexed and stored; every twentieth is a query against all; the run file is read again."""
-    encoded = encode.hashed_words(tables.table(spark, sf_dir, "documents"), "doc_id", "text", WIDTH)
+    encoded = stored(encode.hashed_words(tables.table(spark, sf_dir, "documents"), "doc_id", "text", WIDTH), "encoded")
     queries = encoded.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id")
     out = scratch(spark, "retrieval")
     evaluation.retrieve_to_run_file(queries, encoded, 10, out)

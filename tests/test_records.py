@@ -207,3 +207,11 @@ def test_each_product_is_masked_once(spark, monkeypatch):
     whole = product.masked(product.pretrain_part(examples, products, "train").dropDuplicates(["query_id", "product_id"]), "title", "positive")
     listed = lambda df: sorted(tuple(r) for r in df.select("query_id", "product_id", "query", "masked", "label").collect())
     assert seen == [2] and listed(part) == listed(whole) and len(listed(part)) == 76
+
+
+def test_words_of_a_batch_are_hashed_where_they_are_counted(spark):
+    from pairsmith.operators import encode
+
+    vectors = encode.hashed_words(spark.createDataFrame([(1, "b a A"), (2, None), (3, "")], "id long, text string"), "id", "text", 32)
+    assert {r["id"]: round(sum(x * x for x in r["vector"]), 6) for r in vectors.collect()} == {1: 1.0, 2: 0.0, 3: 0.0}
+    assert "conv(" not in vectors._jdf.queryExecution().optimizedPlan().toString()
