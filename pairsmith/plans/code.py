@@ -37,11 +37,8 @@ def masked(lines: DataFrame, seed: int = SEED) -> DataFrame:
     """``lines`` with ``masked`` and ``label``; rows without any chosen identifier are left out."""
     named = with_identifiers(lines).where(F.size("identifiers") > 0)
     chosen = entities.chosen_identifiers(F.col("identifiers"), F.col("language"), F.col("url"), seed)
-    staged = (
-        once(named, "_chosen", chosen)
-        .where(F.size("_chosen") > 0)
-        .withColumn("_map", masking.sentinel_map(F.col("_chosen")))
-    )
+    staged = once(named, "_chosen", chosen).where(F.size("_chosen") > 0)
+    staged = once(staged, "_map", masking.sentinel_map(F.col("_chosen")))  # not anew for each token
     return (
         staged.withColumn("masked", masking.mask(text.first_present(), F.col("_map")))
         .withColumn("label", masking.recovery_label(F.col("_chosen")))

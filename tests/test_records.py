@@ -215,3 +215,13 @@ def test_words_of_a_batch_are_hashed_where_they_are_counted(spark):
     vectors = encode.hashed_words(spark.createDataFrame([(1, "b a A"), (2, None), (3, "")], "id long, text string"), "id", "text", 32)
     assert {r["id"]: round(sum(x * x for x in r["vector"]), 6) for r in vectors.collect()} == {1: 1.0, 2: 0.0, 3: 0.0}
     assert "conv(" not in vectors._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_the_sentinels_of_a_code_are_mapped_once(spark):
+    from pairsmith.plans import code
+
+    lines = spark.createDataFrame([(["a", "=", "b"], None, ["x"], "a = b", "u", "python")], "code_tokens array<string>, function_tokens array<string>, docstring_tokens array<string>, code string, url string, language string")
+    masked = code.masked(lines)
+    assert [r["masked"] for r in masked.collect()] == ["<extra_id_0> = <extra_id_1>"]
+    plan = masked._jdf.queryExecution().optimizedPlan().toString()
+    assert "try_element_at(map_from_arrays" not in plan and "element_at(map_from_arrays" not in plan.replace(" ", "")
