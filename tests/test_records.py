@@ -225,3 +225,14 @@ def test_the_sentinels_of_a_code_are_mapped_once(spark):
     assert [r["masked"] for r in masked.collect()] == ["<extra_id_0> = <extra_id_1>"]
     plan = masked._jdf.queryExecution().optimizedPlan().toString()
     assert "try_element_at(map_from_arrays" not in plan and "element_at(map_from_arrays" not in plan.replace(" ", "")
+
+
+def test_tasks_of_judged_rows_grow_in_number(spark, monkeypatch, tmp_path):
+    from pairsmith.plans import tables
+
+    lines = "id as l_orderkey, id as l_partkey, id as l_suppkey, id as l_linenumber, 1.0D as l_extendedprice, 'A' as l_returnflag, 'F' as l_linestatus"
+    spark.range(2_000).selectExpr(*lines.split(", ")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(2_000).selectExpr("id as o_orderkey", "'1-URGENT' as o_orderpriority", "id as o_custkey").write.parquet(f"{tmp_path}/orders.parquet")
+    monkeypatch.setattr(tables, "TASK_ROWS", 200)
+    rows = tables.examples(spark, str(tmp_path))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 2 and rows.count() == 2_000
