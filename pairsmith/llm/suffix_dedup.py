@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from pairsmith.llm import shared
@@ -34,6 +35,8 @@ BLOCK_BYTES = 16 << 20
 #: Anchors of a bucket, on average, before blocks are merged.
 BUCKET_ANCHORS = 1_000_000
 LEAST_BUCKETS = 64
+#: Buckets between the first blocks of tasks that follow each other.
+BLOCK_STRIDE = 3
 #: Strings that are compared at a time.
 COMPARED = 1 << 16
 
@@ -200,7 +203,8 @@ def _anchored(batches: Iterator[pa.RecordBatch], buckets: int, length: int, gram
     names, kinds = ["bucket", "keys", "ids", "places", "again"], [pa.int32(), *(pa.binary(),) * 4]
     edges = np.array([(i << 64) // buckets for i in range(1, buckets)], np.uint64)
     held: list[tuple] = []
-    size = blocks = 0
+    # Tasks begin at different buckets, or all first blocks would meet in one.
+    size, blocks = 0, TaskContext.get().partitionId() * BLOCK_STRIDE
 
     def row(bucket: int, keys, ids, places, again) -> pa.RecordBatch:
         columns = [[bucket], [shared.packed(keys)], [_zipped(ids)], [_zipped(places.astype(np.int32))], [_zipped(again)]]

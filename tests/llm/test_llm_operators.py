@@ -476,3 +476,11 @@ def test_pipeline(spark, documents):
     assert not docs.where("doc_id >= 10000").count() and before > 120
     mixed = corpus_pipeline.run(spark, SF)
     assert mixed.groupBy("doc_id").agg(F.max("copy").alias("n"), F.count("*").alias("m")).where("n <> m or n > 2").count() == 0
+
+
+def test_blocks_of_different_tasks_go_to_different_buckets(spark):
+    text = bytes(random.Random(3).randrange(256) for _ in range(400)) * 2
+    docs = spark.createDataFrame([(i, bytearray(text)) for i in range(16)], "id long, text binary").repartition(8)
+    sent = docs.mapInArrow(lambda b: suffix_dedup._anchored(b, 64, 100, 40), "bucket int, keys binary, ids binary, places binary, again binary")
+    again = [r["bucket"] for r in sent.where("bucket >= 64").select("bucket").collect()]
+    assert len(again) == len(set(again)) > 1
